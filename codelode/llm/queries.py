@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import bpe_codec, html_extract, packing, token_count
+from codelode.llm import bpe_codec, html_extract, media, packing, token_count
 from codelode.runtime import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
