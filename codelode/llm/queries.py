@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import ann, bpe_codec, html_extract, media, packing, quality, sentence_dedup, token_count
+from codelode.llm import ann, bpe_codec, html_extract, media, near_dedup, packing, quality, sentence_dedup, token_count
 from codelode.runtime import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ def op4_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_sentence_dedup"] = sentence_dedup.SQL
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+ORACLES["op8_minhash_near_dedup"] = near_dedup.SQL
