@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import ann, bpe_codec, html_extract, media, near_dedup, packing, quality, sentence_dedup, token_count
+from codelode.llm import ann, bpe_codec, html_extract, media, near_dedup, packing, quality, sentence_dedup, substring_dedup, token_count
 from codelode.runtime import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_minhash_near_dedup"] = near_dedup.SQL
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
