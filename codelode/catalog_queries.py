@@ -1,11 +1,9 @@
-"""Registered queries of the library, with the SQL that gives the same rows."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from codelode.plans import text_queries  # noqa: F401
+from codelode.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "w1_budget"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
