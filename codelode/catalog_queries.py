@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codelode.plans import text_queries  # noqa: F401
+from codelode.plans import graph_queries, text_queries  # noqa: F401
 from codelode.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "w1_budget"
