@@ -173,8 +173,12 @@ def generations(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataF
 
 
 def circuits(edges: DataFrame, most: int = 50) -> DataFrame:
-    """Elementary circuits, `most` of them (that limit is the operator's own)."""
+    """Elementary circuits, `most` of them (that limit is the operator's own). Only edges
+    within cycles are handed to the one task that walks them."""
     kind = _kind(edges)
+    c = strong_components(edges)
+    s, t = c.select(F.col("id").alias("source"), F.col("component").alias("cs")), c.select(F.col("id").alias("target"), F.col("component").alias("ct"))
+    edges = edges.join(s, "source").join(t, "target").where("cs = ct")
     return _in_one_task(edges.select("source", "target").distinct(), lambda e: [(i, c) for i, c in enumerate(kernels.elementary_circuits(e, most))], f"number long, nodes array<{kind}>")
 
 

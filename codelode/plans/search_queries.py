@@ -176,10 +176,10 @@ def a24_modules(spark: SparkSession, d: str) -> DataFrame:
     return top.groupBy("module").agg(pick("class").alias("classes"), pick("function").alias("functions"))
 
 
-@query(f"WITH {LIB}, n AS (SELECT c_nationkey % 5 AS r, c_custkey, c_name FROM customer), f AS (SELECT c_custkey % 30 AS id, arg_max(c_name, c_custkey) AS project_name FROM customer WHERE c_custkey < 200 GROUP BY 1) SELECT id, project_name FROM lib WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT id, project_name FROM f")
+@query(f"WITH {LIB}, n AS (SELECT c_nationkey % 5 AS r, c_custkey, c_name FROM customer), f AS (SELECT c_custkey % 30 AS id, arg_max(c_name, c_custkey) AS project_name FROM customer GROUP BY 1) SELECT id, project_name FROM lib WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT id, project_name FROM f")
 def k1_upsert(spark: SparkSession, d: str) -> DataFrame:
     """K1, K2, K4, K5: the last row of a key wins."""
-    new = table(spark, d, "customer").where("c_custkey < 200").select((F.col("c_custkey") % 30).alias("id"), F.col("c_name").alias("project_name"), "c_custkey")
+    new = table(spark, d, "customer").select((F.col("c_custkey") % 30).alias("id"), F.col("c_name").alias("project_name"), "c_custkey")
     fresh = K.last_of(new, ["id"], "c_custkey").select("id", "project_name")
     return K.upsert(libraries(spark, d).select("id", "project_name"), fresh, ["id"])
 
