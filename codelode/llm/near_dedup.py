@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.components import components
-from codelode.llm.flat import Rolling, groups, mix
+from codelode.llm.flat import Rolling, groups, mix, spread_runs
 from codelode.runtime import cut
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -124,27 +124,42 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _within_long_lists(rows: DataFrame, reps: DataFrame, least: float, block: int = 2000) -> DataFrame:
-    """Candidates between components of lists (value, doc_id, label) that are too long for a join:
-    members outside the list's largest component against all, sketches compared in memory. Both
-    sides are dealt out in blocks, so that no task holds a whole list."""
+def _within_long_lists(rows: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 2000) -> DataFrame:
+    """Links between components of lists (value, doc_id, label) that are too long for a join:
+    members outside the list's largest component against all, exactly, on full sets in memory.
+    Both sides are dealt out in blocks, so that no task holds a whole list. Of the links found in
+    a block only those that join components are given: fewer than it has members."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], ["id", "shingles"])
 
     def run(table: pa.Table) -> pa.Table:
         outside = table.column("outside").to_numpy(zero_copy_only=False)
-        ids, label, n = (table.column(c).to_numpy() for c in ("doc_id", "label", "n"))
-        sketches = [np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]
+        ids, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+        full = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        n = np.array([len(s) for s in full])
         inner = np.flatnonzero(~outside)
-        values = np.concatenate([sketches[i] for i in inner]) if len(inner) else np.zeros(0, np.uint64)
-        owner = np.repeat(inner, [len(sketches[i]) for i in inner])
+        values = np.concatenate([full[i] for i in inner]) if len(inner) else np.zeros(0, np.uint64)
+        owner = np.repeat(inner, n[inner])
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
         a, b = [], []
         for i in np.flatnonzero(outside):
-            lo, hi = np.searchsorted(values, sketches[i], side="left"), np.searchsorted(values, sketches[i], side="right")
-            shared = np.bincount(owner[np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])], minlength=len(ids))
-            fits = ~outside & (shared * 2 >= least * len(sketches[i])) & (label != label[i]) & (100 * n >= 80 * n[i]) & (100 * n[i] >= 80 * n)
-            for j in np.flatnonzero(fits).tolist():
-                if estimate(sketches[i], sketches[j]) >= least:
+            lo, hi = np.searchsorted(values, full[i], side="left"), np.searchsorted(values, full[i], side="right")
+            both = np.bincount(owner[spread_runs(lo, hi - lo)], minlength=len(ids))
+            for j in np.flatnonzero(~outside & (100 * both >= percent * (n + n[i] - both))).tolist():
+                x, y = find(label[i]), find(label[j])
+                if x != y:
+                    root[x] = y
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -157,10 +172,12 @@ def _within_long_lists(rows: DataFrame, reps: DataFrame, least: float, block: in
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     inside = dealt.select("value", "doc_id", "label", F.lit(False).alias("outside"), of("inner_blocks").alias("x"), each("outer_blocks").alias("y"))
     outer = dealt.where("label <> top").select("value", "doc_id", "label", F.lit(True).alias("outside"), each("inner_blocks").alias("x"), of("outer_blocks").alias("y"))
-    return inside.union(outer).join(reps, "doc_id").groupBy("value", "x", "y").applyInArrow(run, "a long, b long")
+    needed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(rows.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    full = needed.mapInArrow(sets, "id long, shingles binary")
+    return inside.union(outer).join(full, F.col("doc_id") == F.col("id")).drop("id").groupBy("value", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 48, listed: int = 16, common: int = 32, least: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 48, listed: int = 16, common: int = 32, searched: int = 8, least: float = 0.5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     sigs = cut(signatures(docs, width, k))
     classes = sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -188,13 +205,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     # at most `common` partners a row
     meet = x.join(y, "value").where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     found = _hopeful(meet, reps, least)
-    # values of a document that are in long lists; with few others, it meets the rest there
+    more = cut(_links(cut(found), docs, width, percent))
+    # values of a document that are in long lists; with few others, it meets the rest there, in as
+    # many of them as leave no chance to miss a partner in all
     long_rows = shared.groupBy("doc_id").agg(F.count_if(F.col("size") > common).alias("in_long"))
     mostly = long_rows.join(reps.select("doc_id", "n"), "doc_id").where(F.least("n", F.lit(listed)) - F.col("in_long") < listed // 2).select("doc_id")
-    hard = open_.where(F.col("size") > common).join(mostly, "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("value"))
+    hard = open_.where(F.col("size") > common).join(mostly, "doc_id", "left_semi").withColumn("place", place).where(F.col("place") <= searched).drop("place")
     many = hard.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    inner = _within_long_lists(cut(hard.join(many, "value", "left_semi")), reps, least).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_links(cut(found.union(inner).distinct()), docs, width, percent))
+    inner = cut(_within_long_lists(cut(hard.join(many, "value", "left_semi").select("value", "doc_id", "label")), docs, width, percent))
+    more = more.union(inner)
     final = components(links.union(more)) if not more.isEmpty() else labels
     named = member.join(final, member.rep == final.node, "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
