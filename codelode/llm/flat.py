@@ -58,6 +58,11 @@ class Rolling:
         self.sums[0] = 0
         np.cumsum(spread, out=self.sums[1:])
 
+    def windows(self, size: int) -> np.ndarray:
+        """The hash of every stretch of `size` symbols."""
+        n = max(0, len(self.sums) - size)
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 

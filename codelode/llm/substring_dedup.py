@@ -46,9 +46,8 @@ class Anchors:
             return
         roll = Rolling(data)
         wide = length - gram + 1
-        place = np.arange(len(data) - gram + 1)
-        hashes = roll.of(place, place + gram)
-        least = (hashes >> LOW << LOW) | place.astype(np.uint64)
+        hashes = roll.windows(gram)
+        least = (hashes >> LOW << LOW) | np.arange(len(hashes), dtype=np.uint64)
         size = 1
         while size * 2 <= wide:
             least = np.minimum(least[:-size], least[size:])
@@ -76,7 +75,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, only_gram: bool) -> Dat
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for a, b in groups(map(len, texts), 1 << 22):
+            for a, b in groups(map(len, texts), 1 << 19):
                 f = Anchors(texts[a:b], length, gram)
                 columns = {"gram": pa.array(f.gram.view(np.int64))}
                 if not only_gram:

@@ -113,10 +113,12 @@ def suffix_array(s: Strings, need: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(s: Strings, order: np.ndarray, depth: int) -> np.ndarray:
     """For each place in the suffix array the length, up to depth, that it shares with the one
-    before it; end marks match nothing."""
+    before it; end marks match nothing. Neighbours whose first `depth` characters differ in their
+    hash can't share as much, and get 0."""
     out = np.zeros(len(order), np.int64)
-    todo = np.arange(1, len(order))
-    a, b = order[:-1], order[1:]
+    window = s.rolling.of(order, np.minimum(order + depth, len(s.symbols)))
+    todo = np.flatnonzero(window[1:] == window[:-1]) + 1
+    a, b = order[todo - 1], order[todo]
     done = 0
     while len(todo) and done < depth:
         x, y = s.keys[a + done], s.keys[b + done]
