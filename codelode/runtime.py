@@ -45,7 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: lineage ends, work isn't repeated,
     and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that nothing needs any more
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:
