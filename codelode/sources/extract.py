@@ -125,7 +125,7 @@ def block_end(code: str, start: int) -> int:
     return len(code)
 
 
-VISIBLE = r"(?P<visible>public|private|protected|internal|fileprivate|open)?\s*"
+VISIBLE = r"(?P<visible>public|private|protected|internal|fileprivate|open)?[ \t]*"
 # Declarations by language: (kind, pattern). Names in the groups are name, visible, bases, implements, mods.
 RULES: dict[str, list[tuple[str, str]]] = {
     "javascript": [
@@ -172,7 +172,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "swift": [("class", VISIBLE + r"(?P<mods>(?:final\s+)?)(?:class|struct|actor)\s+(?P<name>\w+)(?:<[^{]*?>)?(?:\s*:\s*(?P<bases>[\w., <>]+?))?\s*\{"), ("interface", VISIBLE + r"protocol\s+(?P<name>\w+)"), ("enum", VISIBLE + r"enum\s+(?P<name>\w+)"), ("function", VISIBLE + r"(?P<mods>(?:(?:static|override|mutating|class)\s+)*)func\s+(?P<name>\w+)")],
 }
 RULES["typescript"] = RULES["javascript"]
-WORDS = {"if", "for", "while", "switch", "catch", "return", "else", "new", "throw", "do", "try", "function", "sizeof", "await", "foreach", "lock", "using", "when"}
+WORDS = {"if", "for", "while", "switch", "catch", "return", "else", "throw", "do", "try", "function", "sizeof", "await", "foreach", "lock", "using", "when"}
 IMPORTS: dict[str, list[tuple[str, str]]] = {
     "javascript": [("import", r"(?m)^\s*(?:import|export)\s[^'\"\n;]*?from\s*['\"]([^'\"]+)['\"]"), ("import", r"(?m)^\s*import\s*['\"]([^'\"]+)['\"]"), ("require", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)")],
     "java": [("static_import", r"(?m)^\s*import\s+static\s+([\w.]+(?:\.\*)?)\s*;"), ("import", r"(?m)^\s*import\s+(?!static\b)([\w.]+(?:\.\*)?)\s*;")],

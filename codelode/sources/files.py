@@ -18,7 +18,8 @@ SETTINGS = ["git_context.json", ".git_context.json", "context7.json", ".repo-ctx
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """Path (from the root), length, modified and content of every file that isn't binary."""
+    """Path (from the root), length, modified and content of every file that isn't binary.
+    Spark's reader leaves out names that start with a dot or an underscore."""
     base = root.rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(re.sub(r"^\w+:/*", "/", base)), "")
