@@ -115,16 +115,17 @@ def dedup(docs: DataFrame, few: int = 12, many: int = 40) -> DataFrame:
     first = hits.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = hits.join(first, ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("first"))
     # runs of one document: as many as it has sentences, a few times over
-    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("spans")).withColumnRenamed("doc_id", "span_doc")
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any of the input's names
+    marks = later.groupBy(F.col("doc_id").alias(own + "doc")).agg(F.collect_set(F.struct("pos", "size")).alias(own + "spans"))
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    kept = docs.select(names).join(marks, F.col("doc_id").cast("long") == F.col("span_doc"), "left").drop("span_doc")
+    kept = docs.select(names).join(marks, F.col("doc_id").cast("long") == F.col(own + "doc"), "left").drop(own + "doc")
     at = names.index("text")
     schema = docs.select(names).schema.add("n_sentences", "long").add("n_removed", "long")
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            spans = batch.column("spans").to_pylist()
+            spans = batch.column(len(names)).to_pylist()
             columns = list(batch.columns)[:-1]
             left: list[bytes | None] = list(texts)
             counts, removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
