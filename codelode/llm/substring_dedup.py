@@ -202,14 +202,21 @@ def _search(length: int, batch_bytes: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 100, in_task: int = 4000) -> DataFrame:
-    """doc_id, spans: (low, high) of what repeats, for documents in which something does; spans
-    may overlap. docs: doc_id and text, neither null."""
+def _marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id; whole: places of anchors whose context repeats; open: places to look into, with
+    gram and kind. As many as a document has anchors."""
+    docs = docs.where("text is not null")
     rows = anchor_rows(docs, length, gram, False)
     again = anchor_rows(docs, length, gram, True).groupBy("gram").count().where("count > 1").select("gram")
     known = rows.join(again, "gram", "left_semi").sortWithinPartitions("gram", "context").mapInArrow(_classify, "doc_id long, at int, gram long, kind int")
-    # as many as a document has anchors
-    marks = cut(known.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("at"))).alias("whole"), F.collect_list(F.when(F.col("kind") > 0, F.struct("at", "gram", "kind"))).alias("open")))
+    return known.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("at"))).alias("whole"), F.collect_list(F.when(F.col("kind") > 0, F.struct("at", "gram", "kind"))).alias("open"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 100, in_task: int = 4000) -> DataFrame:
+    """doc_id, spans: (low, high) of what repeats, for documents in which something does; spans
+    may overlap. docs: doc_id, not null, and text. Its join here is the one that the caller
+    repeats, so that Spark deals the texts out once."""
+    marks = cut(_marks(docs, length, gram))
     counts = marks.select(F.explode("open.gram").alias("gram")).groupBy("gram").count()
     total = marks.agg(F.sum(F.size("open"))).first()[0] or 0
     limit = max(in_task, total // 1_000_000)
@@ -264,8 +271,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep_text also the
     bytes that are left."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.where("doc_id is not null and text is not null")
-    spans = repeated_spans(texts, length, gram, in_task)
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    spans = repeated_spans(named, length, gram, in_task)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,4 +296,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(run, schema)
+    rest = nameless.withColumn("spans", F.lit(None).cast("array<struct<low:int,high:int>>"))
+    return named.join(spans, "doc_id", "left").mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
