@@ -3,6 +3,7 @@ parallelism, and cutting lineage in a folder that all machines see."""
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -44,9 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: lineage ends, work isn't repeated,
     and a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
     out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that nothing needs any more
+    del df
+    gc.collect()  # then plans that only led here are free
+    spark.sparkContext._jvm.System.gc()  # and Spark drops their shuffle files
     return out
 
 
