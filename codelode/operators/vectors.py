@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Dimensions of known embedding models.
-DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "nomic-embed-text": 768, "all-minilm": 384, "mxbai-embed-large": 1024}
+DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "voyage-code-2": 1536, "voyage-2": 1024, "cohere-embed-english-v3.0": 1024, "cohere-embed-multilingual-v3.0": 1024}
 
 
 def dot(a: Column, b: Column) -> Column:

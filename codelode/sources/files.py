@@ -14,7 +14,7 @@ from codelode.functions import text as T
 # Folders that walks leave out, and names of a repository's own settings.
 SKIPPED = [".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", "target", ".idea", ".vscode", ".tox", ".mypy_cache", ".pytest_cache", "vendor"]
 TESTS = ["test", "tests", "__tests__", "spec"]
-SETTINGS = ["git_context.json", ".git_context.json", "context7.json", ".repo-ctx.json"]
+SETTINGS = ["git_context.json", ".git_context.json", "repo_context.json"]
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
@@ -62,10 +62,12 @@ def tags(rows: DataFrame, most: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("date"), "name").limit(most)
 
 
-def settings(rows: DataFrame, schema: str = "projectTitle string, description string, folders array<string>, excludeFolders array<string>, excludeFiles array<string>") -> DataFrame:
-    """The first of the known settings files, parsed."""
-    order = F.array_position(F.array(*map(F.lit, SETTINGS)), F.col("path"))
-    first = rows.where(F.col("path").isin(SETTINGS)).agg(F.min_by("content", order).alias("content"))
+def settings(rows: DataFrame, names: list[str] | None = None, schema: str = "projectTitle string, description string, folders array<string>, excludeFolders array<string>, excludeFiles array<string>") -> DataFrame:
+    """The first of the known settings files, parsed; a tool's own file name may come first in
+    `names`."""
+    names = names or SETTINGS
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("path"))
+    first = rows.where(F.col("path").isin(names)).agg(F.min_by("content", order).alias("content"))
     return first.select(F.from_json("content", schema).alias("s")).select("s.*")
 
 

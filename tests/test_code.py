@@ -117,6 +117,8 @@ def test_files_and_dump(spark, tmp_path):
     assert [r.path for r in files.documents(t).collect()] == ["docs/g.md"]
     assert files.provider("local").files(spark, str(root)).count() == 5
     assert files.simple_yaml("layers:\n  - name: ui\n    patterns: [a.*, b]\nforbidden:\n  - from: x\n    to: y\n") == {"layers": [{"name": "ui", "patterns": ["a.*", "b"]}], "forbidden": [{"from": "x", "to": "y"}]}
+    own = spark.createDataFrame([("repo_context.json", '{"folders": ["b"]}'), (".git_context.json", '{"folders": ["a"]}')], "path string, content string")
+    assert files.settings(own).first().folders == ["a"] and files.settings(own, ["repo_context.json"]).first().folders == ["b"]
     s, d = extract.tables(files.walk(t, tests=True))
     e = spark.createDataFrame([("A", "B", "imports")], "source string, target string, relation string")
     s2 = s.withColumn("ord", F.lit(1))
