@@ -32,6 +32,11 @@ def query(sql: str | None = None):
     return register
 
 
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Sums of floats depend on their order; compared values don't need the last bits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def libraries(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.operators import graph as G
-from codelode.plans.base import EDGE, NODE, SYM, edge_sql, edges, nodes, query, symbols
+from codelode.plans.base import EDGE, NODE, SYM, edge_sql, edges, nodes, query, rounded, symbols
 from codelode.runtime import cut
 
 B = f"WITH {EDGE}, {NODE}"
@@ -40,10 +40,10 @@ def g27_coupling(spark: SparkSession, d: str) -> DataFrame:
     return G.coupling(e, nodes(e)).drop("suggestion")
 
 
-@query(f"{B}, {COUP} SELECT avg(ca) AS avg_ca, avg(ce) AS avg_ce, avg(instability) AS avg_instability, count(*) FILTER (ca >= 10 AND ce >= 10) AS god_classes, count(*) FILTER (ca >= 10 AND instability > 0.7) AS unstable_cores, count(*) FILTER (ce >= 15) AS high_coupling FROM cpl")
+@query(f"{B}, {COUP} SELECT round(avg(ca), 6) AS avg_ca, round(avg(ce), 6) AS avg_ce, round(avg(instability), 6) AS avg_instability, count(*) FILTER (ca >= 10 AND ce >= 10) AS god_classes, count(*) FILTER (ca >= 10 AND instability > 0.7) AS unstable_cores, count(*) FILTER (ce >= 15) AS high_coupling FROM cpl")
 def a14_coupling_summary(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    return G.coupling_summary(G.coupling(e, nodes(e)))
+    return rounded(G.coupling_summary(G.coupling(e, nodes(e))), "avg_ca", "avg_ce", "avg_instability")
 
 
 @query(f"{B}, {COUP}, r AS (SELECT *, {RISK} AS risk_level FROM cpl) SELECT id, ca, ce, risk_level FROM r WHERE risk_level <> 'low' ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, ca + ce DESC, id LIMIT 20")
@@ -102,11 +102,11 @@ def g25_hotspots(spark: SparkSession, d: str) -> DataFrame:
     return G.hotspots(e, nodes(e))
 
 
-@query(f"{R}, {CYC}, s AS (SELECT (SELECT count(*) FROM node) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges, (SELECT count(*) FROM cyc) AS n_cycles), t AS (SELECT *, n_edges / n_nodes AS avg_coupling FROM s), u AS (SELECT *, (15.0 * n_cycles + 2.0 * greatest(0.0, avg_coupling - 3) * n_nodes + 0.1 * greatest(0, n_nodes - 50))::DOUBLE AS xs_score FROM t) SELECT *, CASE WHEN xs_score < 20 THEN 'A' WHEN xs_score < 40 THEN 'B' WHEN xs_score < 60 THEN 'C' WHEN xs_score < 80 THEN 'D' ELSE 'F' END AS grade FROM u")
+@query(f"{R}, {CYC}, s AS (SELECT (SELECT count(*) FROM node) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges, (SELECT count(*) FROM cyc) AS n_cycles), t AS (SELECT *, n_edges / n_nodes AS avg_coupling FROM s), u AS (SELECT *, (15.0 * n_cycles + 2.0 * greatest(0.0, avg_coupling - 3) * n_nodes + 0.1 * greatest(0, n_nodes - 50))::DOUBLE AS xs_score FROM t) SELECT n_nodes, n_edges, n_cycles, round(avg_coupling, 6) AS avg_coupling, round(xs_score, 6) AS xs_score, CASE WHEN xs_score < 20 THEN 'A' WHEN xs_score < 40 THEN 'B' WHEN xs_score < 60 THEN 'C' WHEN xs_score < 80 THEN 'D' ELSE 'F' END AS grade FROM u")
 def g24_xs_score(spark: SparkSession, d: str) -> DataFrame:
     """G24, X40."""
     e = cut(edges(spark, d))
-    return G.xs_metrics(e, nodes(e))
+    return rounded(G.xs_metrics(e, nodes(e)), "avg_coupling", "xs_score")
 
 
 @query(f"WITH RECURSIVE {EDGE}, both_ways AS (SELECT source AS a, target AS b FROM edge UNION SELECT target, source FROM edge), walk AS (SELECT source AS id, 0 AS lv FROM edge WHERE source = (SELECT min(source) FROM edge) UNION SELECT b, lv + 1 FROM walk JOIN both_ways ON a = id WHERE lv < 3) SELECT id, min(lv) AS level FROM walk GROUP BY 1")

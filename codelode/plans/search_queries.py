@@ -9,7 +9,7 @@ from codelode.functions import text as T
 from codelode.operators import search as S
 from codelode.operators import tables as K
 from codelode.operators import vectors as V
-from codelode.plans.base import DOC, EDGE, LIB, SYM, VER, docs, edges, libraries, query, symbols, versions
+from codelode.plans.base import DOC, EDGE, LIB, SYM, VER, docs, edges, libraries, query, rounded, symbols, versions
 from codelode.runtime import table
 
 
@@ -74,30 +74,30 @@ def f18_symbol_filters(spark: SparkSession, d: str) -> DataFrame:
 TOK = "t AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM doc), c AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: x = 'of')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM t), s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)"
 
 
-@query(f"WITH {DOC}, {TOK} SELECT id, ln((docs - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM c, s WHERE a > 0 AND b > 0")
+@query(f"WITH {DOC}, {TOK} SELECT id, round(ln((docs - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 AND b > 0")
 def q6_full_text(spark: SparkSession, d: str) -> DataFrame:
     """Q6, F6, J2."""
-    return S.bm25(docs(spark, d), "id", F.col("content"), "the of")
+    return rounded(S.bm25(docs(spark, d), "id", F.col("content"), "the of"), "score")
 
 
 QV = [0.1 * ((i * 7) % 11 - 5) for i in range(64)]
 QS = "[" + ", ".join(f"{x:.1f}" for x in QV) + "]::DOUBLE[]"
 
 
-@query(f"SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {QS}) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, id LIMIT 10")
+@query(f"SELECT id, round(score, 6) AS score FROM (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {QS}) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, id LIMIT 10)")
 def v1_cosine_search(spark: SparkSession, d: str) -> DataFrame:
     """V1, L10, Q7."""
-    return V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", filters={"label": 3})
+    return rounded(V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", filters={"label": 3}), "score")
 
 
-@query(f"SELECT vec_id AS id, list_inner_product(embedding::DOUBLE[], {QS}) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
+@query(f"SELECT id, round(score, 6) AS score FROM (SELECT vec_id AS id, list_inner_product(embedding::DOUBLE[], {QS}) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10)")
 def v2_dot_search(spark: SparkSession, d: str) -> DataFrame:
-    return V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", "dot")
+    return rounded(V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", "dot"), "score")
 
 
-@query(f"SELECT vec_id AS id, list_distance(embedding::DOUBLE[], {QS}) AS score FROM embeddings ORDER BY score, id LIMIT 10")
+@query(f"SELECT id, round(score, 6) AS score FROM (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], {QS}) AS score FROM embeddings ORDER BY score, id LIMIT 10)")
 def v2_euclid_search(spark: SparkSession, d: str) -> DataFrame:
-    return V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", "euclid")
+    return rounded(V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", "euclid"), "score")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
@@ -123,12 +123,12 @@ h AS (SELECT id, score * 2.0 AS score, 'content' AS source, 0 AS o FROM c UNION
 m AS (SELECT *, row_number() OVER (PARTITION BY lower(id) ORDER BY score DESC, o) AS r, list(source) OVER (PARTITION BY lower(id)) AS l FROM h)"""
 
 
-@query(f"{ARMS} SELECT id, score::DOUBLE AS score, source, list_sort(list_distinct(l)) AS sources FROM m WHERE r = 1 ORDER BY score DESC, id LIMIT 300")
+@query(f"{ARMS} SELECT id, round(score, 6)::DOUBLE AS score, source, list_sort(list_distinct(l)) AS sources FROM (SELECT * FROM m WHERE r = 1 ORDER BY score DESC, id LIMIT 300)")
 def q8_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Q8-Q12, W4, L9, U2."""
     v = V.search(table(spark, d, "embeddings"), [round(x, 1) for x in QV], "vec_id", "embedding", limit=200).select(F.concat(F.lit("SYM:"), F.col("id").cast("string")).alias("id"), "score")
     s = symbols(spark, d)
-    return S.hybrid(S.content_arm(docs(spark, d), s, "red", 200), v, S.graph_arm(s, "red", 200), 300)
+    return rounded(S.hybrid(S.content_arm(docs(spark, d), s, "red", 200), v, S.graph_arm(s, "red", 200), 300), "score")
 
 
 @query(f"WITH {SYM} SELECT 'type' AS dimension, symbol_type AS value, count(*) AS n FROM sym GROUP BY 2 UNION ALL SELECT 'visibility', visibility, count(*) FROM sym GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM sym GROUP BY 2")
