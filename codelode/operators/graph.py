@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
 from codelode.operators import kernels
-from codelode.runtime import cut
+from codelode.runtime import cut, numbered
 
 SMALL = 200_000
 
@@ -149,11 +149,8 @@ def layers(edges: DataFrame, nodes: DataFrame, components: DataFrame | None = No
 
 
 def dependency_matrix(edges: DataFrame, level: DataFrame) -> DataFrame:
-    """Row, col of every distinct edge, nodes numbered by level and id. Numbers come from
-    counts of each level and ranks within it, so no task sorts all nodes."""
-    per = level.groupBy("level").agg(F.count("*").alias("n"))
-    base = per.select("level", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a level
-    place = level.withColumn("n", F.row_number().over(Window.partitionBy("level").orderBy("id")) - 1).join(base, "level").select("id", (F.col("base") + F.col("n")).alias("place"))
+    """Row, col of every distinct edge, nodes numbered by level and id."""
+    place = cut(numbered(level, ["level", "id"], "place").select("id", "place"))
     r, c = place.select(F.col("id").alias("source"), F.col("place").alias("row")), place.select(F.col("id").alias("target"), F.col("place").alias("col"))
     return edges.select("source", "target").distinct().join(r, "source").join(c, "target").select("source", "target", "row", "col")
 

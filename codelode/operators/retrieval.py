@@ -43,7 +43,11 @@ def documentation(docs: DataFrame, library: str, query: str | None = None, max_t
     quality = T.quality_score(c, p)
     score = 0.5 * quality + 0.5 * T.relevance_score(c, p, query) if query else quality
     rows = rows.select("*", T.count_tokens(c).alias("tokens"), score.alias("score"))
-    return rows if max_tokens is None else budget_skip(rows, ["library"], max_tokens, "tokens", [F.desc("score"), F.asc("path"), F.asc("id")])
+    if max_tokens is None:
+        return rows
+    # only sizes and scores are sorted; texts join what is kept
+    kept = budget_skip(rows.select("id", "library", "path", "tokens", "score"), ["library"], max_tokens, "tokens", [F.desc("score"), F.asc("path"), F.asc("id")])
+    return docs.join(kept.drop("library", "path"), "id")
 
 
 def summary_format(docs: DataFrame, most: int = 10) -> DataFrame:

@@ -10,7 +10,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SHIPPED: dict[str, str] = {}
 
@@ -58,5 +59,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df with `name`: each row's place, from 0 on, in the order of the columns. Rows are dealt
+    out by range and ranked within their part; parts' sizes, one row each, give the rest."""
+    parts = cut(df.repartitionByRange(shuffle_width(df.sparkSession), *columns).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*columns)) - 1
+    return parts.withColumn("_rank", rank).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_rank")).drop("_part", "_base", "_rank")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
