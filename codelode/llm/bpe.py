@@ -321,7 +321,7 @@ def flat_points(parts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return text, points, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
 
 
-def encode_texts(path: str, texts: list[str], split, prepare=None, limit: int = 2_000_000) -> list[np.ndarray]:
+def encode_texts(path: str, texts: list[str], split, prepare=None, limit: int = 1_000_000) -> list[np.ndarray]:
     """Ids of each text. Special tokens inside a text are cut out first, as by default; `prepare`
     normalises what is left; `split` finds the words."""
     book = lexicon(path)

@@ -39,7 +39,7 @@ _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of `width` words."""
     out: list[np.ndarray] = []
-    for a, b in groups(map(len, texts), 4_000_000):
+    for a, b in groups(map(len, texts), 1_000_000):
         data = _LOWER[np.frombuffer(b" ".join(texts[a:b]) + b" ", np.uint8)]
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[a:b]), np.int64, b - a))
         gap = _BREAK[data]

@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, rank: int = 64,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in groups(map(len, texts), 2_000_000):
+            for a, b in groups(map(len, texts), 1_000_000):
                 counts = np.minimum(features(texts[a:b]), 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], pa.array([row.tobytes() for row in counts], pa.binary())], ["doc_id", "quality", "counts"])
 
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, scores = texts_of(batch), []
-            for a, b in groups((2000 + len(t) for t in texts), 1_500_000):
+            for a, b in groups((2000 + len(t) for t in texts), 1_000_000):
                 scores.append(sent.value.score(features(texts[a:b])))
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score >= threshold)], [*names, "quality_score", "quality_kept"])

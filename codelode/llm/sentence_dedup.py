@@ -98,7 +98,7 @@ def _span_rows(docs: DataFrame, few: int, many: int, names: tuple[str, ...]) ->
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids = batch.column("doc_id").to_numpy()
-            for a, b in groups(map(len, texts), 4_000_000):
+            for a, b in groups(map(len, texts), 1_000_000):
                 found = runs(texts[a:b], few, many)
                 found["doc_id"] = ids[a:b][found.pop("text")]
                 yield pa.RecordBatch.from_arrays([pa.array(found[k], pa.int64() if kinds[k] == "long" else pa.int32()) for k in names], list(names))
@@ -129,7 +129,7 @@ def dedup(docs: DataFrame, few: int = 12, many: int = 40) -> DataFrame:
             columns = list(batch.columns)[:-1]
             left: list[bytes | None] = list(texts)
             counts, removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for a, b in groups((len(t or b"") for t in texts), 4_000_000):
+            for a, b in groups((len(t or b"") for t in texts), 1_000_000):
                 data = np.frombuffer(b"".join(t or b"" for t in texts[a:b]), np.uint8)
                 if not len(data):
                     continue
