@@ -26,11 +26,13 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 def classes() -> np.ndarray:
     """The class of every code point, as the public pattern tells them apart."""
     out = np.full(0x110000, OTHER, np.uint8)
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for m in regex.finditer(pattern, points):
-            for c in m[0]:
-                out[ord(c)] = kind
+    rules = [(kind, regex.compile(rule)) for kind, rule in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+"))]
+    for low in range(0, 0x110000, 0x800):  # blocks, as the workers' memory is small
+        if not 0xD800 <= low < 0xE000:
+            points = "".join(map(chr, range(low, low + 0x800)))
+            for kind, rule in rules:
+                for m in rule.finditer(points):
+                    out[low + m.start() : low + m.end()] = kind
     out[[0x1C, 0x1D, 0x1E, 0x1F]] = OTHER  # white space to Python alone
     out[ord(" ")], out[ord("'")] = SPACE, QUOTE
     return out
