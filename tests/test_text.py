@@ -81,3 +81,12 @@ def test_enrichment(spark):
     for name, want in (("get_user_name", "Retrieves user name"), ("on_click", "Handler for click event"), ("widget", "Function widget")):
         assert one(spark, N.symbol_description(n, F.lit("function"), F.lit(None).cast("string")), n=name) == want
     assert one(spark, N.symbol_tags(n, F.lit("method")), n="__init__") == ["magic", "method", "private"]
+
+
+def test_options():
+    from codelode.functions import options as O
+
+    assert O.arguments({"libraryId": "/a/b", "maxTokens": 5, "max_tokens": 7, "page": 1}) == {"repository": "/a/b", "max_tokens": 7, "page": 1}
+    assert O.included("code, Tests,odd") == {"include_code": True, "include_symbols": False, "include_diagrams": False, "include_tests": True, "include_examples": False}
+    assert all(O.included(["all"]).values()) and not any(O.included(None).values())
+    assert O.capped(500, "page_size") == 100
