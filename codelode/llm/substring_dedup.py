@@ -30,6 +30,8 @@ from codelode.llm.suffix_array import Strings, common_prefixes, suffix_array
 from codelode.runtime import cut
 
 LOW = np.uint64(24)
+#: A gram with fewer rows is never dealt out.
+HOT_FLOOR = 2000
 
 
 class Anchors:
@@ -85,9 +87,10 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, only_gram: bool) -> Dat
     return docs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names))
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram and context. kind 0: the context occurs more than once. kind 1: the
-    first row of a context whose gram has several; kind 2: such a row that is the only one.
+def _classify(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram and context; grams in `hot` have contexts in other parts too. kind 0:
+    the context occurs more than once. kind 1: the first row of a context whose gram has several;
+    kind 2: such a row that is the only one.
     What follows a row decides on it, so the rows of one context's head wait for the next batch."""
     held = None  # the last context's first row, whether it had more rows, whether its gram had others
 
@@ -114,6 +117,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.bincount(g_of)[g_of] > 1
         if other0:
             several |= g_of == 0
+        several |= np.isin(gram[h], hot)
         last = len(h) - 1  # stays held: the next batch may go on with it
         rows = np.arange(n)
         cls = np.cumsum(head) - 1
@@ -125,7 +129,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.where(many[first], 1, 2)
         yield out(np.r_[gram[keep], gram[h[first]]], np.r_[doc[keep], doc[h[first]]], np.r_[at[keep], at[h[first]]], np.r_[np.zeros(int(keep.sum()), int), kinds])
         i = h[last]
-        held = ((gram[i], context[i], doc[i], at[i]), bool(many[last]), bool((g_of[last] == 0 and other0) or (np.bincount(g_of)[g_of[last]] > 1)), bool(many[last]))
+        held = ((gram[i], context[i], doc[i], at[i]), bool(many[last]), bool(several[last]), bool(many[last]))
     if held is not None and held[2]:
         (g, _, d, p), more, _, _ = held
         yield out(np.array([g]), np.array([d]), np.array([p]), np.array([1 if more else 2]))
@@ -202,13 +206,23 @@ def _search(length: int, batch_bytes: int):
     return run
 
 
-def _marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _marks(docs: DataFrame, length: int, gram: int, salts: int = 64) -> DataFrame:
     """doc_id; whole: places of anchors whose context repeats; open: places to look into, with
-    gram and kind. As many as a document has anchors."""
+    gram and kind. As many as a document has anchors.
+
+    A gram with over a two-thousandth of all rows is dealt out to `salts` parts. Each part then
+    sees some of its contexts, or some places of a context, and takes it for one of several: a
+    context that is met only once in a part is looked into with those of the other parts."""
     docs = docs.where("text is not null")
-    rows = anchor_rows(docs, length, gram, False)
-    again = anchor_rows(docs, length, gram, True).groupBy("gram").count().where("count > 1").select("gram")
-    known = rows.join(again, "gram", "left_semi").sortWithinPartitions("gram", "context").mapInArrow(_classify, "doc_id long, at int, gram long, kind int")
+    again = cut(anchor_rows(docs, length, gram, True).groupBy("gram").count().where("count > 1"))
+    total = again.agg(F.sum("count")).first()[0] or 0
+    limit = max(HOT_FLOOR, total // 2000)
+    hot = sorted(r["gram"] for r in again.where(F.col("count") > limit).select("gram").collect())  # two thousand at most
+    sent = docs.sparkSession.sparkContext.broadcast(np.array(hot, np.int64))
+    is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
+    rows = anchor_rows(docs, length, gram, False).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("context", F.col("doc_id") % 8), F.lit(salts)).cast("int")).otherwise(0))
+    each = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    known = rows.join(again.select("gram", each.alias("salt")), ["gram", "salt"], "left_semi").sortWithinPartitions("gram", "context").select("gram", "context", "doc_id", "at").mapInArrow(lambda batches: _classify(batches, sent.value), "doc_id long, at int, gram long, kind int")
     return known.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("at"))).alias("whole"), F.collect_list(F.when(F.col("kind") > 0, F.struct("at", "gram", "kind"))).alias("open"))
 
 

@@ -68,6 +68,20 @@ def test_substrings(table, in_task):
     assert [got[i] for i in range(len(TEXTS))] == brute_spans(TEXTS, 200)
 
 
+def test_small_batches_and_hot_grams(spark, table, monkeypatch):
+    """What is known of a gram carries over from batch to batch, and over parts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        texts = [*TEXTS, *[prose(3) + PASSAGE + prose(3) for _ in range(30)], *[BODY] * 5]
+        want = brute_spans(texts, 200)
+        for floor in (2000, 1):
+            monkeypatch.setattr(substring_dedup, "HOT_FLOOR", floor)
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(table(texts)).collect()}
+            assert [got[i] for i in range(len(texts))] == want, floor
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_short_windows(table):
     texts = ["".join(random.choice("ab") for _ in range(random.randint(0, 60))) for _ in range(40)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(table(texts), length=12, gram=5).collect()}
