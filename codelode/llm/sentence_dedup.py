@@ -112,7 +112,8 @@ def dedup(docs: DataFrame, few: int = 12, many: int = 40) -> DataFrame:
     again = _span_rows(texts, few, many, ("h1",)).groupBy("h1").count().where("count > 1").select("h1")
     spans = _span_rows(texts, few, many, ("h1", "h2", "doc_id", "pos", "size"))
     hits = cut(spans.join(again, "h1", "left_semi"))
-    first = hits.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    # written, so that the join reads two plain tables and Spark can split a hot hash's part
+    first = cut(hits.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
     later = hits.join(first, ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("first"))
     # runs of one document: as many as it has sentences, a few times over
     own = "_" * (1 + max(map(len, docs.columns)))  # longer than any of the input's names
