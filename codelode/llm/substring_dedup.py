@@ -185,8 +185,8 @@ def _search(length: int, batch_bytes: int):
         held: list[pa.RecordBatch] = []
         size = 0
         for whole in batches:
-            for a in range(0, len(whole), 2000):
-                batch = whole.slice(a, 2000)
+            for a in range(0, len(whole), 500):
+                batch = whole.slice(a, 500)
                 gram = batch.column("gram").to_numpy()
                 if size >= batch_bytes:
                     last = held[-1].column("gram")[len(held[-1]) - 1].as_py()
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
     around = texts.mapInArrow(contexts, "gram long, doc_id long, begin int, offset int, kind int, context binary")
     parts = [
         marks.select("doc_id", F.explode("whole").alias("at")).select("doc_id", F.greatest(F.col("at") - wide, F.lit(0)).alias("low"), (F.col("at") + length).alias("high")),
-        around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(length, 2_000_000), "doc_id long, low int, high int"),
+        around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(length, 400_000), "doc_id long, low int, high int"),
     ]
     if len(hot):
         dealt = texts.mapInArrow(strings, "gram long, hash long, doc_id long, low int, kind int")
