@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,17 @@ def hash_embedding(text: Column, dims: int) -> Column:
     counts = F.aggregate(letters, F.array_repeat(F.lit(0.0), dims), lambda a, p: F.transform(a, lambda v, i: F.when(i == p, v + 1.0).otherwise(v))) if dims <= 16 else _dense(letters, dims)
     stats = F.array(words / 100, chars / 1000, F.when(chars > 0, words / chars).otherwise(0.0))
     raw = F.concat(F.slice(stats, 1, min(3, dims)), F.slice(counts, 4, max(dims - 3, 1))) if dims > 3 else F.slice(stats, 1, dims)
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    unit = F.transform(raw, lambda v: F.when(size > 0, v / size).otherwise(0.0))
+    length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + v * v))
+    unit = _once(raw, lambda r: _once(length(r), lambda z: F.transform(r, lambda v: F.when(z > 0, v / z).otherwise(0.0))))
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array_repeat(F.lit(0.0), dims)).otherwise(unit)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: what a lambda only refers to is computed anew for
+    each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _dense(places: Column, dims: int) -> Column:
     ordered = F.array_sort(places)
     # (last place, its count, dense prefix): each step appends the zeros between two places
