@@ -8,9 +8,12 @@ the whole texts, links them.
 
 Lists never give all pairs of their members. First each member meets the list's smallest one; the
 links found contract to components. Then members of different components meet: in lists of at most
-`common` members by a join, and in longer ones within one pass over the list, where only documents
-count that hardly have a value in a shorter list (documents of large groups of near copies, or of
-little but boilerplate); the others meet in their shorter lists.
+`common` members by a join. Two classes that share only values of longer lists meet there or by
+their whole sketches: every class with such a value lists its whole sketch among its like. Lists of
+at most `common` members are joined there too; a class with less than `least` of its sketch in
+longer ones has one of the values that it must share to be similar enough in a list that is joined,
+and the others (of large groups of near copies, or of little but boilerplate) meet within one pass
+over each of their long lists.
 
 Results: a null or empty text, or one without words, has no shingles and is its own component;
 rows with equal sets share a component, equal rows too; a row without doc_id is kept and has no
@@ -184,14 +187,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     member = cut(sigs.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     reps = cut(sigs.join(classes, (sigs.doc_id == classes.rep) & (sigs.h1 == classes.h1) & (sigs.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"))
 
-    def list_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(s, np.int64)[:listed] for s in batch.column("sketch").to_pylist()]
-            sizes = [len(p) for p in parts]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes), pa.int64())], ["value", "doc_id"])
+    def list_values(of: DataFrame, most: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [np.frombuffer(s, np.int64)[:most] for s in batch.column("sketch").to_pylist()]
+                sizes = [len(p) for p in parts]
+                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes), pa.int64())], ["value", "doc_id"])
+
+        return of.mapInArrow(run, "value long, doc_id long")
 
-    rows = reps.mapInArrow(list_values, "value long, doc_id long")
+    rows = list_values(reps, listed)
     sizes = rows.groupBy("value").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
     shared = cut(rows.join(sizes, "value"))
     star = shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -200,16 +206,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     labelled = shared.join(labels, shared.doc_id == labels.node, "left").select("value", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     open_ = cut(labelled.join(mixed, "value", "left_semi"))
-    short = open_.where(F.col("size") <= common)
+    # whole sketches of documents with a value in a long list
+    touched = shared.where(F.col("size") > common).select("doc_id").distinct()
+    whole = list_values(reps.join(touched, "doc_id", "left_semi"), k)
+    whole = cut(whole.join(labels, whole.doc_id == labels.node, "left").select("value", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    met = whole.groupBy("value").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1")
+    whole = cut(whole.join(met, "value"))
+    short = open_.where(F.col("size") <= common).select("value", "doc_id", "label").union(whole.where((F.col("size") <= common) & (F.col("lo") != F.col("hi"))).select("value", "doc_id", "label"))
     x, y = short.select("value", F.col("doc_id").alias("a"), F.col("label").alias("la")), short.select("value", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    # at most `common` partners a row
+    # at most twice `common` partners a row
     meet = x.join(y, "value").where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     found = _hopeful(meet, reps, least)
     more = cut(_links(cut(found), docs, width, percent))
-    # values of a document that are in long lists; with few others, it meets the rest there, in as
-    # many of them as leave no chance to miss a partner in all
-    long_rows = shared.groupBy("doc_id").agg(F.count_if(F.col("size") > common).alias("in_long"))
-    mostly = long_rows.join(reps.select("doc_id", "n"), "doc_id").where(F.least("n", F.lit(listed)) - F.col("in_long") < listed // 2).select("doc_id")
+    # similar enough sketches share `least` of their values: a document with fewer in long lists has
+    # met its partners by the others; the rest meet in as many of their long lists as leave no chance
+    # to miss a partner in all
+    long_rows = whole.groupBy("doc_id").agg(F.count_if(F.col("size") > common).alias("in_long"))
+    mostly = long_rows.join(reps.select("doc_id", "n"), "doc_id").where(F.col("in_long") >= least * F.least("n", F.lit(k))).select("doc_id")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("value"))
     hard = open_.where(F.col("size") > common).join(mostly, "doc_id", "left_semi").withColumn("place", place).where(F.col("place") <= searched).drop("place")
     many = hard.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")

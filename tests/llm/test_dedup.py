@@ -154,6 +154,25 @@ def test_near_duplicates(table, common):
     assert [rows[i] for i in range(len(texts))] == brute_groups(texts, 4)
 
 
+def test_boilerplate_with_own_tails(table):
+    """Half of the listed values in long lists, the others its own; the lists' first document is dissimilar."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    def shared(text):
+        return int(np.isin(near_dedup.shingle_sets([text.encode()], 4)[0][:16], values).sum())
+
+    plate = words(400)
+    values = near_dedup.shingle_sets([plate.encode()], 4)[0]
+    first = next(t for t in (f"{plate} {words(250)}" for _ in range(1000)) if shared(t) >= 9)
+    tails = [t for t in (f"{plate} {words(92)}" for _ in range(4000)) if shared(t) <= 8][:3]
+    assert tails
+    texts = [first, *[f"{plate} {words(4)}" for _ in range(40)], *tails]
+    rows = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(texts), width=4).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_groups(texts, 4)
+    assert {rows[i][1] for i in range(1, len(texts))} == {1}
+
+
 def test_near_edges(table):
     assert near_dedup.near_duplicates(table([])).count() == 0
     rows = near_dedup.near_duplicates(table([BODY, BODY, "x"], [None, 7, 7])).collect()
