@@ -29,6 +29,7 @@ from codelode.llm.flat import Rolling, groups, mix
 from codelode.llm.suffix_array import Strings, common_prefixes, suffix_array
 from codelode.runtime import cut
 
+#: Bits of a place, in the low end of its hash; a place counts from the start of its piece.
 LOW = np.uint64(24)
 #: A gram with fewer rows is never dealt out.
 HOT_FLOOR = 2000
@@ -49,17 +50,24 @@ class Anchors:
         roll = Rolling(data)
         wide = length - gram + 1
         hashes = roll.windows(gram)
-        least = (hashes >> LOW << LOW) | np.arange(len(hashes), dtype=np.uint64)
-        size = 1
-        while size * 2 <= wide:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < wide:
-            least = np.minimum(least[: size - wide], least[wide - size :])
+        # in pieces, overlapping by a string's other places, whose places fit under the hash
+        step = (1 << int(LOW)) - wide + 1
+        first = np.empty(n, np.int64)
+        for start in range(0, n, step):
+            part = hashes[start : start + step + wide - 1]
+            least = (part >> LOW << LOW) | np.arange(len(part), dtype=np.uint64)
+            size = 1
+            while size * 2 <= wide:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            if size < wide:
+                least = np.minimum(least[: size - wide], least[wide - size :])
+            count = min(step, n - start)
+            first[start : start + count] = start + (least[:count] & np.uint64((1 << int(LOW)) - 1)).astype(np.int64)
         room = np.ones(n + length, bool)
         for e in ends:  # strings that would cross an end
             room[max(0, e - length + 1) : e] = False
-        at = (least[:n][room[:n]] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        at = first[room[:n]]
         at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
         self.at, self.text = at, np.searchsorted(ends, at, side="right")
         self.low = np.maximum(at - (length - gram), self.begin[self.text])

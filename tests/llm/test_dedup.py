@@ -88,6 +88,19 @@ def test_short_windows(table):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 12)
 
 
+def test_anchors_beyond_a_piece(monkeypatch):
+    """A text longer than places under the hash can count: its repeats have equal anchors."""
+    text = b"".join([random.randbytes(3000), PASSAGE.encode(), random.randbytes(3000), PASSAGE.encode(), random.randbytes(500)])
+    monkeypatch.setattr(substring_dedup, "LOW", np.uint64(10))
+    f = substring_dedup.Anchors([text, text[1500:]], 200, 100)
+    keys = substring_dedup.Rolling(np.frombuffer(text + text[1500:], np.uint8)).windows(100)
+    keep = keys >> np.uint64(10)
+    want = []
+    for base, size in ((0, len(text)), (len(text), len(text) - 1500)):
+        want += [i + int(np.argmin(keep[i : i + 101])) for i in range(base, base + size - 199)]
+    assert f.at.tolist() == sorted(set(want))
+
+
 def test_substring_edges(table):
     assert substring_dedup.remove_repeats(table([])).count() == 0
     rows = substring_dedup.remove_repeats(table([BODY, BODY, BODY], [None, 1, 1])).collect()
