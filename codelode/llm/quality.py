@@ -131,13 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, rank: int = 64,
         for batch in batches:
             texts = texts_of(batch)
             for a, b in groups(map(len, texts), 1_000_000):
-                counts = np.minimum(features(texts[a:b]), 65535).astype(np.uint16)
+                counts = features(texts[a:b])  # float32, as scored rows have them
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], pa.array([row.tobytes() for row in counts], pa.binary())], ["doc_id", "quality", "counts"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taught), "doc_id")
     rows = found.mapInArrow(run, "doc_id long, quality int, counts binary").toArrow()  # `sample` rows of a fixed size at most
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint16).reshape(-1, FEATURES)[order].astype(np.float32)
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(-1, FEATURES)[order]
     return Model(counts, rows.column("quality").to_numpy()[order], rank, k)
 
 

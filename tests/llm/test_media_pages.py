@@ -104,6 +104,15 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_long_labelled_text(spark, table):
+    """A labelled text's vector is that of the same text when it is scored."""
+    texts = ["alpha beta " * 50_000 + "gamma " * 30_000, *[f"Some {w} text, of {w} words." for w in ("short", "plain", "odd")]]
+    ids = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    model = quality.fit(table(texts, ids), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+    scored = quality.unit(quality.weigh(quality.features(texts), model.weight) @ model.basis)
+    assert np.allclose(model.known, scored, atol=1e-5)
+
+
 def test_quality(spark, table, edges):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.fit(docs, labels)
