@@ -1,23 +1,24 @@
 """Near duplicates by bottom-k sketches.
 
-A document's set holds 64-bit hashes of its distinct word shingles; its sketch is the `k` smallest.
-Documents of equal sets are one class from the start. The `listed` smallest values of each class
-go to inverted lists; what two classes share there makes them candidates, the bottom of the union
-of their sketches estimates their similarity, and only exact Jaccard on full sets, computed from
-the whole texts, links them.
-
-Lists never give all pairs of their members. First each member meets the list's smallest one; the
-links found contract to components. Then members of different components meet: in lists of at most
-`common` members by a join. Two classes that share only values of longer lists meet there or by
-their whole sketches: every class with such a value lists its whole sketch among its like. Lists of
-at most `common` members are joined there too; a class with less than `least` of its sketch in
-longer ones has one of the values that it must share to be similar enough in a list that is joined,
-and the others (of large groups of near copies, or of little but boilerplate) meet within one pass
-over each of their long lists.
+A document's set holds 64-bit hashes of its distinct word shingles. One hash gives all sets one
+order; values that many documents have come last in it (`frequent`; any choice of them gives the
+same links, it only decides how much work finds them). Of `n` values a document retains the
+smallest k = n - ceil(0.8 n) + 1: two sets that share four fifths of their union share one of
+their retained values, so inverted lists of retained values lose no link. What two documents
+retain up to the smaller of their largest retained values is known of both: the bottom of the
+union. The differences seen there are no more than all differences, so pairs with too many go, and
+never a similar one. Exact Jaccard on full sets, from whole texts, links the rest.
+
+Documents of equal sets are one class from the start. Lists never give all pairs of their members.
+First each class meets its lists' smallest one; the links found contract to components. Members of
+different components then meet: in lists of at most `common` members by a join, in longer ones
+within blocks, on full sets in memory. As frequent values come last, a class is only in long lists
+if nearly all of its set is frequent.
 
 Results: a null or empty text, or one without words, has no shingles and is its own component;
-rows with equal sets share a component, equal rows too; a row without doc_id is kept and has no
-component; an empty table gives no rows; extra columns pass through or are ignored.
+rows with equal sets share a component, equal rows too; rows that share a doc_id and differ are
+documents of their own, and either links others; a row without doc_id is kept, has no component
+and links nothing; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.components import components
@@ -66,45 +67,97 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n, h1 and h2 (of the set), sketch (little-endian 64-bit values, ascending)."""
+def _sampled(docs: DataFrame, width: int, rate: int) -> DataFrame:
+    """One in `rate` of all (document, value) pairs, chosen by their hash: value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [np.zeros(0, np.uint64)]
+            for s in shingle_sets(texts, width):
+                found.append(s[mix(s ^ mix(s.sum(dtype=np.uint64, keepdims=True))) < np.uint64((1 << 64) // rate)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["value"])
+
+    return docs.select("text").mapInArrow(run, "value long")
+
+
+def frequent(docs: DataFrame, width: int, rate: int = 8, least: int = 4, bits: int = 25) -> np.ndarray:
+    """A bitmap of 2**bits bits over values' low bits: those that about rate * least documents or
+    more have. The threshold doubles until at most one bit in 16 is set, whatever the input."""
+    counts = cut(_sampled(docs, width, rate).groupBy("value").count().where(F.col("count") >= least))
+    levels = counts.groupBy(F.floor(F.log2("count")).alias("level")).count().collect()  # 64 rows at most
+    level = next(x for x in range(65) if sum(r["count"] for r in levels if r["level"] >= x) <= 1 << bits - 4)
+    bit = F.col("value").bitwiseAND((1 << bits) - 1) + 1
+    chosen = counts.where(F.floor(F.log2("count")) >= level).select(bit.alias("bit"))
+    rows = chosen.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        out[(r["part"] - 1) * 4096 :][:4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def retained(values: np.ndarray, bitmap: np.ndarray, percent: int) -> np.ndarray:
+    """The values that a set retains, in the common order: frequent ones have the highest bit."""
+    low = (values & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    often = (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+    values = values >> np.uint64(1)
+    n = len(values)
+    return np.concatenate([values[~often], values[often] | np.uint64(1 << 63)])[: n + (-percent * n) // 100 + 1]
+
+
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, h1 and h2 (of the set), sketch (retained 64-bit values, ascending)."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))  # four megabytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             sets = shingle_sets(texts, width)
             h = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ _FACTORS[1]).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            sketch = pa.array([retained(s, sent.value, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s[:k].tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "h1", "h2", "sketch"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), sketch],
+                ["doc_id", "text_hash", "n", "h1", "h2", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, sketch binary")
 
 
-def estimate(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity from the bottom of the union of two sketches."""
-    union = np.union1d(x, y)[: max(len(x), len(y))]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return np.searchsorted(both, union[-1], side="right") / len(union) if len(union) else 0.0
+def differences(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values the bottom of the union of two sketches shows in one set only."""
+    top = min(x[-1], y[-1])
+    seen = np.searchsorted(x, top, side="right") + np.searchsorted(y, top, side="right")
+    return int(seen) - 2 * len(np.intersect1d(x, y, assume_unique=True))
 
 
-def _hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose sketches make it likely."""
-    a = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def _sized(a: str, b: str, percent: int):
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def _hopeful(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches leave room for the similarity."""
+    a = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-            keep = pa.array(near, pa.bool_())
+            size = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+            sketches = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), size)
+            keep = pa.array([(100 + percent) * differences(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= (100 - percent) * n for x, y, n in sketches], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    sized = pairs.join(a, "a").join(b, "b").where((100 * F.col("na") >= 80 * F.col("nb")) & (100 * F.col("nb") >= 80 * F.col("na")))
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
 
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of classes: that of the row of the smallest doc_id."""
+    wanted = ids.distinct().join(classes.select("id", "doc_id", "text_hash"), "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text")
 
-def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs that exact Jaccard on full sets confirms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +174,17 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, docs)
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _within_long_lists(rows: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 2000) -> DataFrame:
-    """Links between components of lists (value, doc_id, label) that are too long for a join:
-    members outside the list's largest component against all, exactly, on full sets in memory.
-    Both sides are dealt out in blocks, so that no task holds a whole list. Of the links found in
-    a block only those that join components are given: fewer than it has members."""
+def _within_long_lists(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 600_000) -> DataFrame:
+    """Links between components of lists (value, id, label) that are too long for a join. Lists
+    of the same largest component are one group; members outside that component meet all, exactly,
+    on full sets in memory. Both sides are dealt out in blocks of about `block` shingles, so that
+    no task holds a whole list. Of the links found in a block only those that join components are
+    given: fewer than it has members."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +193,7 @@ def _within_long_lists(rows: DataFrame, docs: DataFrame, width: int, percent: in
 
     def run(table: pa.Table) -> pa.Table:
         outside = table.column("outside").to_numpy(zero_copy_only=False)
-        ids, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+        ids, label = (table.column(c).to_numpy() for c in ("id", "label"))
         full = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         n = np.array([len(s) for s in full])
         inner = np.flatnonzero(~outside)
@@ -168,71 +221,72 @@ def _within_long_lists(rows: DataFrame, docs: DataFrame, width: int, percent: in
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     per = rows.groupBy("value", "label").count()
-    lists = per.groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    lists = lists.select("value", "top", F.ceil(F.col("all") / block).alias("inner_blocks"), F.ceil((F.col("all") - F.col("most")) / block).alias("outer_blocks")).where("outer_blocks > 0")
-    dealt = rows.join(lists, "value")
-    of = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    top = per.groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+    members = cut(rows.join(top, "value").select("top", "id", "label").distinct().join(classes.select("id", "n"), "id"))
+    weight = lambda of: F.ceil(F.sum(F.when(of, F.greatest("n", F.lit(300)))) / block)
+    sizes = members.groupBy("top").agg(weight(F.lit(True)).alias("inner_blocks"), weight(F.col("label") != F.col("top")).alias("outer_blocks"))
+    dealt = members.join(sizes, "top")
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    inside = dealt.select("value", "doc_id", "label", F.lit(False).alias("outside"), of("inner_blocks").alias("x"), each("outer_blocks").alias("y"))
-    outer = dealt.where("label <> top").select("value", "doc_id", "label", F.lit(True).alias("outside"), each("inner_blocks").alias("x"), of("outer_blocks").alias("y"))
-    needed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(rows.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    full = needed.mapInArrow(sets, "id long, shingles binary")
-    return inside.union(outer).join(full, F.col("doc_id") == F.col("id")).drop("id").groupBy("value", "x", "y").applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 48, listed: int = 16, common: int = 32, searched: int = 8, least: float = 0.5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    sigs = cut(signatures(docs, width, k))
-    classes = sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = cut(sigs.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = cut(sigs.join(classes, (sigs.doc_id == classes.rep) & (sigs.h1 == classes.h1) & (sigs.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"))
-
-    def list_values(of: DataFrame, most: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                parts = [np.frombuffer(s, np.int64)[:most] for s in batch.column("sketch").to_pylist()]
-                sizes = [len(p) for p in parts]
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes), pa.int64())], ["value", "doc_id"])
-
-        return of.mapInArrow(run, "value long, doc_id long")
-
-    rows = list_values(reps, listed)
-    sizes = rows.groupBy("value").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    inside = dealt.select("top", "id", "label", F.lit(False).alias("outside"), of("inner_blocks").alias("x"), each("outer_blocks").alias("y"))
+    outer = dealt.where("label <> top").select("top", "id", "label", F.lit(True).alias("outside"), each("inner_blocks").alias("x"), of("outer_blocks").alias("y"))
+    full = _texts(members.select("id"), classes, docs).mapInArrow(sets, "id long, shingles binary")
+    return inside.union(outer).join(full, "id").groupBy("top", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, common: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; text_hash (xxhash64) and chosen: the
+    one text of its component that stays, where doc_ids alone don't tell."""
+    sigs = cut(signatures(docs, width, percent))
+    same = sigs.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sketch").alias("sketch"))
+    classes = cut(same.select(F.monotonically_increasing_id().alias("id"), "row.doc_id", "row.text_hash", "h1", "h2", "n", "sketch"))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(s, np.int64) for s in batch.column("sketch").to_pylist()]
+            sizes = [len(p) for p in parts]
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes), pa.int64()) for c in ("id", "n"))], ["value", "id", "n"])
+
+    rows = classes.select("id", "n", "sketch").mapInArrow(values, "value long, id long, n long")
+    sizes = rows.groupBy("value").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
     shared = cut(rows.join(sizes, "value"))
-    star = shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(_links(cut(_hopeful(star, reps, least)), docs, width, percent))
+    star = shared.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    star = cut(star.where(_sized("na", "nb", percent)).select("a", "b").distinct())
+    links = cut(_links(cut(_hopeful(star, classes.select("id", "n", "sketch"), percent)), classes, docs, width, percent))
     labels = components(links)
-    labelled = shared.join(labels, shared.doc_id == labels.node, "left").select("value", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
+    labelled = shared.join(labels, shared.id == labels.node, "left").select("value", "id", "n", "size", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     open_ = cut(labelled.join(mixed, "value", "left_semi"))
-    # whole sketches of documents with a value in a long list
-    touched = shared.where(F.col("size") > common).select("doc_id").distinct()
-    whole = list_values(reps.join(touched, "doc_id", "left_semi"), k)
-    whole = cut(whole.join(labels, whole.doc_id == labels.node, "left").select("value", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    met = whole.groupBy("value").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1")
-    whole = cut(whole.join(met, "value"))
-    short = open_.where(F.col("size") <= common).select("value", "doc_id", "label").union(whole.where((F.col("size") <= common) & (F.col("lo") != F.col("hi"))).select("value", "doc_id", "label"))
-    x, y = short.select("value", F.col("doc_id").alias("a"), F.col("label").alias("la")), short.select("value", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    # at most twice `common` partners a row
-    meet = x.join(y, "value").where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    found = _hopeful(meet, reps, least)
-    more = cut(_links(cut(found), docs, width, percent))
-    # similar enough sketches share `least` of their values: a document with fewer in long lists has
-    # met its partners by the others; the rest meet in as many of their long lists as leave no chance
-    # to miss a partner in all
-    long_rows = whole.groupBy("doc_id").agg(F.count_if(F.col("size") > common).alias("in_long"))
-    mostly = long_rows.join(reps.select("doc_id", "n"), "doc_id").where(F.col("in_long") >= least * F.least("n", F.lit(k))).select("doc_id")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("value"))
-    hard = open_.where(F.col("size") > common).join(mostly, "doc_id", "left_semi").withColumn("place", place).where(F.col("place") <= searched).drop("place")
-    many = hard.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    inner = cut(_within_long_lists(cut(hard.join(many, "value", "left_semi").select("value", "doc_id", "label")), docs, width, percent))
+    short = open_.where(F.col("size") <= common)
+    x, y = (short.select("value", F.col("id").alias(i), F.col("n").alias("n" + i), F.col("label").alias("l" + i)) for i in "ab")
+    # at most `common` partners a row
+    meet = x.join(y, "value").where(_sized("na", "nb", percent)).where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    more = cut(_links(cut(_hopeful(meet, classes.select("id", "n", "sketch"), percent)), classes, docs, width, percent))
+    inner = cut(_within_long_lists(open_.where(F.col("size") > common).select("value", "id", "label"), classes, docs, width, percent))
     more = more.union(inner)
     final = components(links.union(more)) if not more.isEmpty() else labels
-    named = member.join(final, member.rep == final.node, "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True))
-    return out.union(nameless)
+    named = cut(classes.join(final, classes.id == final.node, "left").select("doc_id", "text_hash", "h1", "h2", "n", F.coalesce("label", "id").alias("label")))
+    least = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    own = named.join(least, "label").select("h1", "h2", "n", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("least"))
+    nameless, alone = F.col("doc_id").isNull(), F.col("component_id").isNull()
+    component = F.when(~nameless, F.coalesce("component_id", "doc_id"))
+    return sigs.select("doc_id", "text_hash", "h1", "h2", "n").join(own, ["h1", "h2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (nameless | alone | (F.col("doc_id") == F.col("component_id"))).alias("kept"),
+        "text_hash", (nameless | alone | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("least")))).alias("chosen"),
+    )
+
+
+def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each group of near duplicates,
+    that of the smallest doc_id. Equal rows are one document; rows without doc_id all stay."""
+    found = cut(near_duplicates(docs, width, percent).where("chosen and doc_id is not null").select("doc_id", "text_hash"))
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any of the input's names
+    named = found.select(F.col("doc_id").alias(own + "doc"), F.col("text_hash").alias(own + "hash"))
+    left = docs.join(named, (F.col("doc_id").cast("long") == F.col(own + "doc")) & (F.xxhash64("text") == F.col(own + "hash")), "left_semi")
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "text"])
+    return left.unionByName(docs.where("doc_id is null"))
 
 
 #: The same rows in SQL, for small tables.

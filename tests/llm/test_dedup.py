@@ -167,29 +167,52 @@ def test_near_duplicates(table, common):
     assert [rows[i] for i in range(len(texts))] == brute_groups(texts, 4)
 
 
-def test_boilerplate_with_own_tails(table):
-    """Half of the listed values in long lists, the others its own; the lists' first document is dissimilar."""
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=14), st.data())
+def test_retained_values_lose_no_link(base, extra, data):
+    """Whatever is taken for frequent: similar sets share a retained value and pass the sketch test."""
+    gone = data.draw(st.sets(st.sampled_from(sorted(base)), max_size=10))
+    a, b = base, (base - gone) | extra
+    bitmap = np.frombuffer(data.draw(st.binary(min_size=16, max_size=16)), np.uint8)
+    if not b or 100 * len(a & b) < 80 * len(a | b):
+        return
+    x, y = (near_dedup.retained(np.array(sorted(s), np.uint64), bitmap, 80) for s in (a, b))
+    assert (np.diff(x.astype(object)) >= 0).all() and len(set(x.tolist()) & set(y.tolist())) > 0
+    assert 180 * near_dedup.differences(x, y) <= 20 * (len(a) + len(b))
+
+
+def test_frequent_values(table):
+    """The bitmap holds values that many documents have; its size doesn't depend on the input."""
+    often = "one phrase that every page has at its very end"
+    bitmap = near_dedup.frequent(table([f"{prose(12)} number{i} {often}" for i in range(400)]), 4)
+    flags = np.unpackbits(bitmap, bitorder="little")
+    hit = lambda text: flags[(near_dedup.shingle_sets([text.encode()], 4)[0] & np.uint64(len(flags) - 1)).astype(int)]
+    assert len(bitmap) == 1 << 22 and hit(often).all() and not hit(prose(30)).any()
+
+
+@pytest.mark.parametrize("block", [600_000, 1500])
+def test_many_documents_of_one_frame(table, monkeypatch, block):
+    """Long lists whose members are mostly alike, some of them only to some: in one block and in many."""
     rng = random.Random(5)
     words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
-
-    def shared(text):
-        return int(np.isin(near_dedup.shingle_sets([text.encode()], 4)[0][:16], values).sum())
-
     plate = words(400)
-    values = near_dedup.shingle_sets([plate.encode()], 4)[0]
-    first = next(t for t in (f"{plate} {words(250)}" for _ in range(1000)) if shared(t) >= 9)
-    tails = [t for t in (f"{plate} {words(92)}" for _ in range(4000)) if shared(t) <= 8][:3]
-    assert tails
-    texts = [first, *[f"{plate} {words(4)}" for _ in range(40)], *tails]
-    rows = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(texts), width=4).collect()}
+    texts = [f"{plate} {words(250)}", *[f"{plate} {words(n)}" for n in (4, 30, 60, 92, 92, 110, 4, 4) for _ in range(6)], plate]
+    texts += [" ".join(rng.sample(plate.split(" "), 400)) for _ in range(3)]
+    found = near_dedup._within_long_lists
+    monkeypatch.setattr(near_dedup, "_within_long_lists", lambda *x: found(*x, block=block))
+    rows = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(texts), width=4, common=3).collect()}
     assert [rows[i] for i in range(len(texts))] == brute_groups(texts, 4)
-    assert {rows[i][1] for i in range(1, len(texts))} == {1}
 
 
 def test_near_edges(table):
     assert near_dedup.near_duplicates(table([])).count() == 0
-    rows = near_dedup.near_duplicates(table([BODY, BODY, "x"], [None, 7, 7])).collect()
-    assert sorted((r.doc_id or 0, bool(r.kept)) for r in rows) == [(0, True), (7, True), (7, True)]
+    # of no doc_id, and texts that share one
+    ids, texts = [None, 7, 7, 7, 9, None, 8, 8], [BODY, BODY, "x", BODY, "x", None, "", BODY + " end"]
+    rows = near_dedup.near_duplicates(table(texts, ids), width=4).collect()
+    sets = brute_groups(texts, 4)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept, r.chosen) for r in rows) == sorted([
+        (0, sets[0][0], 0, True, True), (0, 0, 0, True, True), (7, sets[1][0], 7, True, True), (7, sets[1][0], 7, True, True), (7, 1, 7, True, True), (9, 1, 7, False, False), (8, 0, 8, True, True), (8, sets[7][0], 7, False, False),
+    ])
 
 
 def test_components(spark):
