@@ -10,9 +10,9 @@ anchor value of so many contexts that one task couldn't hold them is dealt out b
 hashes and counted instead.
 
 Results: n_bytes of a null text is 0; texts shorter than `length` stay whole; matches never cross
-documents; removed bytes are judged on the input, so the first occurrence goes too; rows that share
-a doc_id and differ keep one another's spans apart only by place; rows without doc_id stay whole
-and don't count; an empty table gives no rows; extra columns are ignored.
+documents; removed bytes are judged on the input, so the first occurrence goes too; every row is a
+document of its own, with rows that share a doc_id, have none, or repeat, which lose all that
+they share; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.bitmaps import bitmap, within
 from codelode.llm.flat import Rolling, groups, mix
 from codelode.llm.suffix_array import Strings, common_prefixes, suffix_array
 from codelode.runtime import cut
@@ -77,19 +78,19 @@ class Anchors:
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int, only_gram: bool) -> DataFrame:
-    """gram, context, doc_id, at (and low, high: the context's ends) of every anchor."""
-    names = ["gram"] if only_gram else ["gram", "context", "doc_id", "at"]
-    kinds = {"gram": "long", "context": "long", "doc_id": "long", "at": "int"}
+    """gram, context, doc_id, row and at of every anchor."""
+    names = ["gram"] if only_gram else ["gram", "context", "doc_id", "row", "at"]
+    kinds = {"gram": "long", "context": "long", "doc_id": "long", "row": "int", "at": "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, rows = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in groups(map(len, texts), 1 << 19):
                 f = Anchors(texts[a:b], length, gram)
                 columns = {"gram": pa.array(f.gram.view(np.int64))}
                 if not only_gram:
-                    columns |= {"context": pa.array(f.context.view(np.int64)), "doc_id": pa.array(ids[a:b][f.text], pa.int64()), "at": pa.array((f.at - f.begin[f.text]).astype(np.int32))}
+                    columns |= {"context": pa.array(f.context.view(np.int64)), "doc_id": pa.array(ids[a:b][f.text], pa.int64()), "row": pa.array(rows[a:b][f.text], pa.int32()), "at": pa.array((f.at - f.begin[f.text]).astype(np.int32))}
                 yield pa.RecordBatch.from_arrays([columns[k] for k in names], names)
 
     return docs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names))
@@ -102,18 +103,19 @@ def _classify(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa
     What follows a row decides on it, so the rows of one context's head wait for the next batch."""
     held = None  # the last context's first row, whether it had more rows, whether its gram had others
 
-    def out(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(gram, pa.int64()), pa.array(kind, pa.int32())], ["doc_id", "at", "gram", "kind"])
+    def out(gram: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(doc, pa.int64()), pa.array(row, pa.int32()), pa.array(at, pa.int32()), pa.array(gram, pa.int64()), pa.array(kind, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "at", "gram", "kind"])
 
     for batch in batches:
         if not len(batch):
             continue
-        gram, context, doc, at = (batch.column(c).to_numpy() for c in ("gram", "context", "doc_id", "at"))
+        gram, context, doc, row, at = (batch.column(c).to_numpy() for c in ("gram", "context", "doc_id", "row", "at"))
         # the held head comes first; `more` and `other` carry what is known of it
         more0 = other0 = shown0 = False
         if held is not None:
-            (g, c, d, p), more0, other0, shown0 = held
-            gram, context, doc, at = np.r_[g, gram], np.r_[c, context], np.r_[d, doc], np.r_[p, at]
+            (g, c, d, r, p), more0, other0, shown0 = held
+            gram, context, doc, row, at = np.r_[g, gram], np.r_[c, context], np.r_[d, doc], np.r_[r, row], np.r_[p, at]
         n = len(gram)
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         head = new_gram | np.r_[True, context[1:] != context[:-1]]
@@ -127,25 +129,25 @@ def _classify(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa
             several |= g_of == 0
         several |= np.isin(gram[h], hot)
         last = len(h) - 1  # stays held: the next batch may go on with it
-        rows = np.arange(n)
         cls = np.cumsum(head) - 1
         repeat = many[cls]
         if held is not None and shown0:
             repeat[0] = False
-        keep = repeat & ((rows != h[last]) | many[last])
+        keep = repeat & ((np.arange(n) != h[last]) | many[last])
         first = np.flatnonzero(several & (np.arange(len(h)) != last))
         kinds = np.where(many[first], 1, 2)
-        yield out(np.r_[gram[keep], gram[h[first]]], np.r_[doc[keep], doc[h[first]]], np.r_[at[keep], at[h[first]]], np.r_[np.zeros(int(keep.sum()), int), kinds])
+        yield out(*(np.r_[x[keep], x[h[first]]] for x in (gram, doc, row, at)), np.r_[np.zeros(int(keep.sum()), int), kinds])
         i = h[last]
-        held = ((gram[i], context[i], doc[i], at[i]), bool(many[last]), bool(several[last]), bool(many[last]))
+        held = ((gram[i], context[i], doc[i], row[i], at[i]), bool(many[last]), bool(several[last]), bool(many[last]))
     if held is not None and held[2]:
-        (g, _, d, p), more, _, _ = held
-        yield out(np.array([g]), np.array([d]), np.array([p]), np.array([1 if more else 2]))
+        (g, _, d, r, p), more, _, _ = held
+        yield out(*(np.array([x]) for x in (g, d, r, p, 1 if more else 2)))
 
 
-def repeated_places(parts: list[bytes], offsets: np.ndarray, owner: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_places(parts: list[bytes], offsets: np.ndarray, owners: tuple[np.ndarray, ...], begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts as (part, place) of the strings of `length` bytes that start at or before the
-    anchor's offset and also start at another place of the corpus; owner and begin place a part."""
+    anchor's offset and also start at another place of the corpus; owners (columns that name a
+    row) and begin place a part."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     need = np.minimum(offsets + 1, sizes - length + 1)
     s = Strings(parts)
@@ -161,22 +163,21 @@ def repeated_places(parts: list[bytes], offsets: np.ndarray, owner: np.ndarray,
     heads = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     where = begin[part] + place
     differ = np.zeros(len(heads), bool)
-    for values in (owner[part], where):
+    for values in (*(x[part] for x in owners), where):
         differ |= np.minimum.reduceat(values, heads) != np.maximum.reduceat(values, heads)
     hit = np.repeat(differ, np.diff(np.r_[heads, len(run)]))
     return part[hit], place[hit]
 
 
-def _sorted_spans(owner: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
-    """Places merged to spans, as doc_id, low, high."""
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
-    if not len(owner):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["doc_id", "low", "high"])
-    head = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + length)]
+def _sorted_spans(doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
+    """Places merged to spans, as doc_id, row, low, high."""
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
+    head = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)][: len(doc)]
     h = np.flatnonzero(head)
-    tail = np.r_[h[1:], len(owner)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(owner[h]), pa.array(start[h].astype(np.int32)), pa.array((start[tail] + length).astype(np.int32))], ["doc_id", "low", "high"])
+    tail = np.r_[h[1:], len(doc)][: len(h)] - 1
+    columns = [pa.array(doc[h], pa.int64()), pa.array(row[h], pa.int32()), pa.array(start[h].astype(np.int32)), pa.array((start[tail] + length).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "low", "high"])
 
 
 def _search(length: int, batch_bytes: int):
@@ -184,10 +185,10 @@ def _search(length: int, batch_bytes: int):
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         parts = table.column("context").to_pylist()
-        offsets, owner, begin, kind = (table.column(c).to_numpy() for c in ("offset", "doc_id", "begin", "kind"))
-        part, place = repeated_places(parts, offsets.astype(np.int64), owner, begin.astype(np.int64), length)
+        offsets, doc, row, begin, kind = (table.column(c).to_numpy() for c in ("offset", "doc_id", "row", "begin", "kind"))
+        part, place = repeated_places(parts, offsets.astype(np.int64), (doc, row), begin.astype(np.int64), length)
         single = kind[part] == 2  # the others are repeated as a whole and known
-        return _sorted_spans(owner[part[single]], (begin[part[single]] + place[single]).astype(np.int64), length)
+        return _sorted_spans(doc[part[single]], row[part[single]], (begin[part[single]] + place[single]).astype(np.int64), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,7 +216,7 @@ def _search(length: int, batch_bytes: int):
 
 
 def _marks(docs: DataFrame, length: int, gram: int, salts: int = 64) -> DataFrame:
-    """doc_id; whole: places of anchors whose context repeats; open: places to look into, with
+    """doc_id, row; whole: places of anchors whose context repeats; open: places to look into, with
     gram and kind. As many as a document has anchors.
 
     A gram with over a two-thousandth of all rows is dealt out to `salts` parts. Each part then
@@ -230,20 +231,19 @@ def _marks(docs: DataFrame, length: int, gram: int, salts: int = 64) -> DataFram
     is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
     rows = anchor_rows(docs, length, gram, False).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("context", F.col("doc_id") % 8), F.lit(salts)).cast("int")).otherwise(0))
     each = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    known = rows.join(again.select("gram", each.alias("salt")), ["gram", "salt"], "left_semi").sortWithinPartitions("gram", "context").select("gram", "context", "doc_id", "at").mapInArrow(lambda batches: _classify(batches, sent.value), "doc_id long, at int, gram long, kind int")
-    return known.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("at"))).alias("whole"), F.collect_list(F.when(F.col("kind") > 0, F.struct("at", "gram", "kind"))).alias("open"))
+    # dealt out before the join: that of a join's own may be dropped (local reads) or split (skew)
+    met = rows.repartition("gram", "salt").join(again.select("gram", each.alias("salt")), ["gram", "salt"], "left_semi")
+    known = met.sortWithinPartitions("gram", "context").select("gram", "context", "doc_id", "row", "at").mapInArrow(lambda batches: _classify(batches, sent.value), "doc_id long, row int, at int, gram long, kind int")
+    return known.groupBy("doc_id", "row").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("at"))).alias("whole"), F.collect_list(F.when(F.col("kind") > 0, F.struct("at", "gram", "kind"))).alias("open"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 100, in_task: int = 4000) -> DataFrame:
-    """doc_id, spans: (low, high) of what repeats, for documents in which something does; spans
-    may overlap. docs: doc_id, not null, and text. Its join here is the one that the caller
-    repeats, so that Spark deals the texts out once."""
+    """doc_id, row, spans: (low, high) of what repeats, for documents in which something does;
+    spans may overlap. docs: doc_id and row, which are a document's own, and text. Its join here is
+    the one that the caller repeats, so that Spark deals the texts out once."""
     marks = cut(_marks(docs, length, gram))
     counts = marks.select(F.explode("open.gram").alias("gram")).groupBy("gram").count()
-    total = marks.agg(F.sum(F.size("open"))).first()[0] or 0
-    limit = max(in_task, total // 1_000_000)
-    hot = np.sort(np.array([r["gram"] for r in counts.where(F.col("count") > limit).select("gram").collect()], np.int64))  # a million at most
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(counts.where(F.col("count") > in_task), "gram"))
     wide = length - gram
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,56 +251,56 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
             for a in range(0, len(whole), 200):
                 batch = whole.slice(a, 200)
                 rows = []
-                for doc, text, open_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("open").to_pylist()):
+                for doc, row, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("open").to_pylist()):
                     for x in open_:
                         low = max(0, x["at"] - wide)
-                        rows.append((x["gram"], doc, low, x["at"] - low, x["kind"], text[low : x["at"] + length]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)]
-                found = pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "begin", "offset", "kind", "context"])
-                yield found.filter(pa.array(~np.isin(found.column("gram").to_numpy(), sent.value)))
+                        rows.append((x["gram"], doc, row, low, x["at"] - low, x["kind"], text[low : x["at"] + length]))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)]
+                found = pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "row", "begin", "offset", "kind", "context"])
+                yield found.filter(pa.array(~within(found.column("gram").to_numpy(), sent.value)))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of grams that are dealt out: each string's hash and place."""
+        names = ["gram", "hash", "doc_id", "row", "low", "kind"]
         for batch in batches:
-            for doc, text, open_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("open").to_pylist()):
-                mine = [x for x in open_ if len(sent.value) and sent.value[min(np.searchsorted(sent.value, x["gram"]), len(sent.value) - 1)] == x["gram"]]
-                if not mine:
+            for doc, row, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("open").to_pylist()):
+                dealt = within(np.array([x["gram"] for x in open_], np.int64), sent.value)
+                if not dealt.any():
                     continue
                 roll = Rolling(np.frombuffer(text, np.uint8))
-                for x in mine:
+                for x in np.array(open_, object)[dealt]:
                     start = np.arange(max(0, x["at"] - wide), min(x["at"], len(text) - length) + 1)
                     h = roll.of(start, start + length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), x["gram"])), pa.array(h), pa.array(np.full(len(start), doc)), pa.array(start.astype(np.int32)), pa.array(np.full(len(start), x["kind"], np.int32))], ["gram", "hash", "doc_id", "low", "kind"])
-
-    texts = docs.select("doc_id", "text").join(marks.where(F.size("open") > 0).select("doc_id", "open"), "doc_id")
-    around = texts.mapInArrow(contexts, "gram long, doc_id long, begin int, offset int, kind int, context binary")
-    parts = [
-        marks.select("doc_id", F.explode("whole").alias("at")).select("doc_id", F.greatest(F.col("at") - wide, F.lit(0)).alias("low"), (F.col("at") + length).alias("high")),
-        around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(length, 400_000), "doc_id long, low int, high int"),
-    ]
-    if len(hot):
-        dealt = texts.mapInArrow(strings, "gram long, hash long, doc_id long, low int, kind int")
-        places = dealt.groupBy("gram", "hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("x"), F.max(F.struct("doc_id", "low")).alias("y")).where("x <> y").select("gram", "hash")
-        parts.append(dealt.where("kind = 2").join(places, ["gram", "hash"], "left_semi").select("doc_id", "low", (F.col("low") + length).alias("high")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+                    same = lambda value, kind: pa.array(np.full(len(start), value, kind))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([same(x["gram"], np.int64), pa.array(h), same(doc, np.int64), same(row, np.int32), pa.array(start.astype(np.int32)), same(x["kind"], np.int32)], names)
+
+    texts = docs.select("doc_id", "row", "text").join(marks.where(F.size("open") > 0).select("doc_id", "row", "open"), ["doc_id", "row"])
+    around = texts.mapInArrow(contexts, "gram long, doc_id long, row int, begin int, offset int, kind int, context binary")
+    whole = marks.select("doc_id", "row", F.explode("whole").alias("at")).select("doc_id", "row", F.greatest(F.col("at") - wide, F.lit(0)).alias("low"), (F.col("at") + length).alias("high"))
+    searched = around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(length, 400_000), "doc_id long, row int, low int, high int")
+    found = whole.unionByName(searched)
+    if np.any(sent.value):
+        dealt = texts.mapInArrow(strings, "gram long, hash long, doc_id long, row int, low int, kind int")
+        place = F.struct("doc_id", "row", "low")
+        places = dealt.groupBy("gram", "hash").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("gram", "hash")
+        found = found.unionByName(dealt.where("kind = 2").join(places, ["gram", "hash"], "left_semi").select("doc_id", "row", "low", (F.col("low") + length).alias("high")))
+    return found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100, in_task: int = 4000, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep_text also the
     bytes that are left."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    spans = repeated_spans(named, length, gram, in_task)
+    given = F.col("doc_id").cast("long")
+    # a row's own key; equal rows of one doc_id share it, and all their contexts repeat
+    keyed = docs.select(given.alias("given"), F.coalesce(given, F.xxhash64("text")).alias("doc_id"), F.hash("text", given.isNull()).alias("row"), "text")
+    spans = repeated_spans(keyed, length, gram, in_task)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            for doc, text, spans in zip(batch.column("given").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
                 text = text or b""
                 merged: list[list[int]] = []
                 for low, high in sorted((s["low"], min(s["high"], len(text))) for s in spans or ()):
@@ -318,5 +318,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    rest = nameless.withColumn("spans", F.lit(None).cast("array<struct<low:int,high:int>>"))
-    return named.join(spans, "doc_id", "left").mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
+    return keyed.join(spans, ["doc_id", "row"], "left").select("given", "text", "spans").mapInArrow(run, schema)

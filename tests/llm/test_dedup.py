@@ -103,8 +103,26 @@ def test_anchors_beyond_a_piece(monkeypatch):
 
 def test_substring_edges(table):
     assert substring_dedup.remove_repeats(table([])).count() == 0
-    rows = substring_dedup.remove_repeats(table([BODY, BODY, BODY], [None, 1, 1])).collect()
-    assert sorted((r.doc_id is None, r.n_removed == len(BODY.encode())) for r in rows) == [(False, True), (False, True), (True, False)]
+    # rows that share a doc_id or have none are documents of their own; equal rows too
+    alone, other = prose(90), prose(90)
+    texts, ids = [BODY, PASSAGE + "q" + alone, other, "z" + PASSAGE, prose(80), alone, PASSAGE, PASSAGE, other, None], [None, 1, 1, 1, None, None, 2, 2, None, None]
+    want = sorted((i or 0, *x) for i, x in zip(ids, brute_spans(texts, 200)))
+    for in_task in (4000, 1):
+        rows = substring_dedup.remove_repeats(table(texts, ids), in_task=in_task).collect()
+        assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
+
+
+def test_very_long_text(table):
+    """A text of over 2**24 bytes; its repeats lie beyond that place."""
+    text = random.randbytes(17 << 20).hex()[: 17 << 20]
+    far = (1 << 24) + 1000
+    texts = [text[:far] + PASSAGE + text[far:], "q" + PASSAGE, text[far + 500_000 : far + 500_900]]
+    rows = {r.doc_id: r for r in substring_dedup.remove_repeats(table(texts)).collect()}
+    sizes = [len(PASSAGE), len(PASSAGE), 900]
+    assert [(rows[i].n_removed, rows[i].n_spans) for i in (1, 2)] == [(n, 1) for n in sizes[1:]]
+    assert (rows[0].n_removed, rows[0].n_spans) == (len(PASSAGE) + 900, 2)
+    kept = texts[0].replace(PASSAGE, "").replace(texts[2], "")
+    assert rows[0].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
 def brute_sentences(texts, few, many):
