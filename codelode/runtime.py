@@ -35,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one under the temporary folder is set only
-    where the cluster names none, as in tests on one machine."""
+    where nothing names one and driver and executors are one machine, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codelode-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -55,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
