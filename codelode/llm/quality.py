@@ -8,8 +8,10 @@ cosine with every one of them is computed in blocks, and its `k` nearest vote wi
 grow with similarity. Rows with crc32(doc_id) mod 5 = 0 never teach.
 
 Results: a null or empty text, or one of white space alone, scores 0; equal texts score alike;
-without labels every text that isn't empty scores 0.5; extra columns are ignored; repeated label
-rows of a document count once, by their largest quality.
+without labels every text that isn't empty scores 0.5; extra columns pass through, but for those
+of the names of the columns that are added, which `prefix` can change; repeated label rows of a
+document count once, by their largest quality; of rows that share a labelled doc_id one text
+teaches, that of the smallest hash.
 """
 
 from __future__ import annotations
@@ -135,17 +137,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, rank: int = 64,
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], pa.array([row.tobytes() for row in counts], pa.binary())], ["doc_id", "quality", "counts"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taught), "doc_id")
+    # one text for each label: combined before the shuffle, however often a doc_id repeats
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"), F.first("quality").alias("quality")).select("doc_id", "quality", "least.text")
     rows = found.mapInArrow(run, "doc_id long, quality int, counts binary").toArrow()  # `sample` rows of a fixed size at most
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(-1, FEATURES)[order]
     return Model(counts, rows.column("quality").to_numpy()[order], rank, k)
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All columns of docs, and quality_score and quality_kept; no shuffle."""
+def classify(docs: DataFrame, model: Model, threshold: float = 0.3, prefix: str = "") -> DataFrame:
+    """All columns of docs, and quality_score and quality_kept, named after the prefix; no shuffle."""
+    added = [prefix + "quality_score", prefix + "quality_kept"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a size that `sample` and `rank` fix
-    names = [c for c in docs.columns if c not in ("quality_score", "quality_kept")]
-    schema = docs.select(names).schema.add("quality_score", "double").add("quality_kept", "boolean")
+    names = [c for c in docs.columns if c not in added]
+    schema = docs.select(names).schema.add(added[0], "double").add(added[1], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +158,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             for a, b in groups((2000 + len(t) for t in texts), 1_000_000):
                 scores.append(sent.value.score(features(texts[a:b])))
             score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score >= threshold)], [*names, "quality_score", "quality_kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score >= threshold)], [*names, *added])
 
     return docs.select(names).mapInArrow(run, schema)
 

@@ -1,15 +1,17 @@
 """Substring dedup over sliding spans of sentences.
 
 A sentence ends after . ! or ? before white space, and at a line's end. Every run of three
-consecutive sentences of at least `few` words together is hashed, and so is every run of one or
-two that has `many` words; a document of fewer than three sentences is a run itself. Runs whose
-hash occurs more than once are found by counting hashes, which combines before the shuffle; only
-their occurrences are joined, and every sentence within an occurrence that isn't the first one (by
-doc_id, then place) goes. Hashes are 64 bits to find candidates and 128 to decide.
+consecutive sentences of at least `few` words together is hashed, and so is every run of two that
+has `pair` words and every one that has `many`; a document of fewer than three sentences is a run
+itself if it has `few` words. With all three at 0 every run counts, down to lines of one word. Runs
+whose hash occurs more than once are found by counting hashes, which combines before the shuffle;
+only their occurrences are joined, and every sentence within an occurrence that isn't the first one
+(by doc_id, then place) goes. Hashes are 64 bits to find candidates and 128 to decide.
 
 Results: a null text stays null and has no sentences; removed sentences take the white space that
 follows them along; rows that share a doc_id count as one document and keep each other's
-sentences; rows without doc_id keep all; an empty table gives no rows; extra columns pass through.
+sentences; rows without doc_id keep all; an empty table gives no rows; extra columns pass through,
+but for those of the names of the columns that are added, which `prefix` can change.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def sentences(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, last[limit - 1] + 1 if len(limit) else limit, text
 
 
-def runs(texts: list[bytes], few: int, many: int) -> dict[str, np.ndarray]:
+def runs(texts: list[bytes], few: int, pair: int, many: int) -> dict[str, np.ndarray]:
     """text, pos, size, h1, h2 of every run of sentences."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
@@ -80,7 +82,7 @@ def runs(texts: list[bytes], few: int, many: int) -> dict[str, np.ndarray]:
         fits = number[pos + size <= count]
         w = total[fits + size] - total[fits]
         whole = (count[fits] == size) & (size < RUN)
-        take = fits[(w >= many) | (whole & (w >= few)) if size < RUN else w >= few]
+        take = fits[(w >= (many, pair, few)[size - 1]) | whole & (w >= few)]
         h1 = np.full(len(take), size, np.uint64)
         h2 = np.full(len(take), size + 64, np.uint64)
         for j in range(size):
@@ -91,7 +93,7 @@ def runs(texts: list[bytes], few: int, many: int) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def _span_rows(docs: DataFrame, few: int, many: int, names: tuple[str, ...]) -> DataFrame:
+def _span_rows(docs: DataFrame, few: int, pair: int, many: int, names: tuple[str, ...]) -> DataFrame:
     kinds = {"h1": "long", "h2": "long", "doc_id": "long", "pos": "int", "size": "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,18 +101,20 @@ def _span_rows(docs: DataFrame, few: int, many: int, names: tuple[str, ...]) ->
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids = batch.column("doc_id").to_numpy()
             for a, b in groups(map(len, texts), 1_000_000):
-                found = runs(texts[a:b], few, many)
+                found = runs(texts[a:b], few, pair, many)
                 found["doc_id"] = ids[a:b][found.pop("text")]
                 yield pa.RecordBatch.from_arrays([pa.array(found[k], pa.int64() if kinds[k] == "long" else pa.int32()) for k in names], list(names))
 
     return docs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names))
 
 
-def dedup(docs: DataFrame, few: int = 12, many: int = 40) -> DataFrame:
-    """All columns of docs with the text that is left, and n_sentences and n_removed."""
+def dedup(docs: DataFrame, few: int = 12, pair: int = 20, many: int = 40, prefix: str = "") -> DataFrame:
+    """All columns of docs with the text that is left, and n_sentences and n_removed, named after
+    the prefix."""
+    added = [prefix + "n_sentences", prefix + "n_removed"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    again = _span_rows(texts, few, many, ("h1",)).groupBy("h1").count().where("count > 1").select("h1")
-    spans = _span_rows(texts, few, many, ("h1", "h2", "doc_id", "pos", "size"))
+    again = _span_rows(texts, few, pair, many, ("h1",)).groupBy("h1").count().where("count > 1").select("h1")
+    spans = _span_rows(texts, few, pair, many, ("h1", "h2", "doc_id", "pos", "size"))
     hits = cut(spans.join(again, "h1", "left_semi"))
     # written, so that the join reads two plain tables and Spark can split a hot hash's part
     first = cut(hits.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
@@ -118,10 +122,10 @@ def dedup(docs: DataFrame, few: int = 12, many: int = 40) -> DataFrame:
     # runs of one document: as many as it has sentences, a few times over
     own = "_" * (1 + max(map(len, docs.columns)))  # longer than any of the input's names
     marks = later.groupBy(F.col("doc_id").alias(own + "doc")).agg(F.collect_set(F.struct("pos", "size")).alias(own + "spans"))
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    names = [c for c in docs.columns if c not in added]
     kept = docs.select(names).join(marks, F.col("doc_id").cast("long") == F.col(own + "doc"), "left").drop(own + "doc")
     at = names.index("text")
-    schema = docs.select(names).schema.add("n_sentences", "long").add("n_removed", "long")
+    schema = docs.select(names).schema.add(added[0], "long").add(added[1], "long")
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +172,7 @@ WITH RECURSIVE cut AS (
   UNION ALL SELECT a.doc_id, a.pos, 2, a.w + b.w, a.n, [a.t, b.t] FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
   UNION ALL SELECT a.doc_id, a.pos, 3, a.w + b.w + c.w, a.n, [a.t, b.t, c.t] FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN counted c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2
 ), chosen AS (
-  SELECT * FROM run WHERE CASE WHEN size = 3 THEN w >= 12 ELSE w >= 40 OR (n = size AND w >= 12) END
+  SELECT * FROM run WHERE w >= CASE size WHEN 3 THEN 12 WHEN 2 THEN 20 ELSE 40 END OR (n = size AND w >= 12)
 ), later AS (
   SELECT doc_id, pos, size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM chosen) WHERE r > 1
 ), gone AS (

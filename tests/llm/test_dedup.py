@@ -125,7 +125,7 @@ def test_very_long_text(table):
     assert rows[0].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
-def brute_sentences(texts, few, many):
+def brute_sentences(texts, few, pair, many):
     cut = []
     for t in texts:
         pieces = [p for p in re.sub(r"([.!?][ \t\n\r\f]+|[ \t\r\f]*\n[ \t\n\r\f]*)", "\\1\x01", t or "").split("\x01") if p]
@@ -140,17 +140,18 @@ def brute_sentences(texts, few, many):
                     continue
                 run = tuple(p.rstrip(" \t\n\r\f") for p in pieces[a : a + n])
                 words = sum(len(x.split()) for x in run)
-                if words >= few if n == 3 else words >= many or len(pieces) == n and words >= few:
+                if words >= (many, pair, few)[n - 1] or len(pieces) == n and words >= few:
                     if run in seen:
                         gone[i] |= set(range(a, a + n))
                     seen.add(run)
     return cut, gone
 
 
-def test_sentences(table):
-    texts = [*TEXTS, "A b c d. E f g h. I j k l. M n.", "Q. A b c d. E f g h. I j k l. Z.", "A b c d. E f g h. I j k l. M n."]
-    rows = {r.doc_id: r for r in sentence_dedup.dedup(table(texts)).collect()}
-    cut, gone = brute_sentences(texts, 12, 40)
+@pytest.mark.parametrize("limits", [(12, 20, 40), (0, 0, 0), (5, 8, 9)])
+def test_sentences(table, limits):
+    texts = [*TEXTS, "A b c d. E f g h. I j k l. M n.", "Q. A b c d. E f g h. I j k l. Z.", "A b c d. E f g h. I j k l. M n.", "One. Two. Three.", "One. Two. Three. Four.", "One. Two."]
+    rows = {r.doc_id: r for r in sentence_dedup.dedup(table(texts), *limits).collect()}
+    cut, gone = brute_sentences(texts, *limits)
     for i, t in enumerate(texts):
         assert (rows[i].n_sentences, rows[i].n_removed) == (len(cut[i]), len(gone[i])), i
         if t and cut[i] and not gone[i]:
@@ -161,6 +162,14 @@ def test_sentences(table):
     assert sentence_dedup.dedup(table([])).count() == 0
 
 
+def test_sentence_columns(table):
+    """Columns of the added names pass through under a prefix."""
+    named = table([BODY, BODY]).withColumnRenamed("n", "n_removed")
+    assert [r.n_removed > 0 for r in sentence_dedup.dedup(named).orderBy("doc_id").collect()] == [False, True]
+    rows = sentence_dedup.dedup(named, prefix="own_").collect()
+    assert {r.n_removed for r in rows} == {1} and {r.own_n_removed == 0 for r in rows} == {True, False}
+
+
 def brute_groups(texts, width):
     sets = []
     for t in texts:

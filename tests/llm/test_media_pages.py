@@ -13,8 +13,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from codelode.llm import ann, html_extract, jpeg, media, quality
 
+from tests.llm.test_dedup import brute_groups, brute_sentences
+from tests.llm.test_tokens import CLIP, HF, packed
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -274,17 +278,70 @@ def test_quality(spark, table, edges):
     assert quality.classify(table([]), model).count() == 0
 
 
+def test_votes(spark, table):
+    """Scores against a plain vote: every labelled text, one at a time, no blocks, no partition."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 5}
+    place = lambda t: quality.unit(quality.weigh(quality.features([t or ""]), model.weight) @ model.basis)[0].astype(float)
+    vectors = {i: place(text[i]) for i in known}
+    got = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    for i in sorted(text)[::7]:
+        own = place(text[i])
+        near = sorted(((float(own @ v), known[j]) for j, v in vectors.items()), reverse=True)
+        if not (text[i] or "").strip() or near[24][0] - near[25][0] < 1e-6:
+            continue  # empty, or a tie for the last place
+        votes = [(max(c, 1e-6) ** 8, q) for c, q in near[:25]]
+        assert abs(got[i] - sum(w * q for w, q in votes) / sum(w for w, _ in votes)) < 1e-3, i
+
+
+def test_repeated_labelled_rows(spark, table):
+    """However often a labelled doc_id repeats, one of its texts teaches."""
+    ids = [i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 5][:4]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids for _ in range(3)], "doc_id long, quality int")
+    model = quality.fit(table([f"Text of {i}, or so." for i in ids] * 50 + ["Another text."] * 9, ids * 50 + ids[:1] * 9), labels)
+    assert len(model.labels) == len(ids)
+    named = table(["Text one.", None]).withColumnRenamed("n", "quality_kept")
+    assert {r.quality_kept for r in quality.classify(named, model, prefix="own_").collect()} == {1}
+
+
 def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    ids = [set(r.doc_id for r in docs.collect())]
+    """Every stage on whole tables, with odd rows, against plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("n_removed", F.lit(5))
+    odd = [(None, "No id, and quite an ordinary sentence of words that go on."), (10**6, None), (10**6 + 1, ""), (10**6 + 2, "same twice " * 30), (10**6 + 2, "same twice " * 30)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or ""), 5) for i, t in odd], docs.schema))
+    columns = docs.columns
+    kept = docs.collect()
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        given = kept
         out = stage(spark, docs, DATA)
         out.write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
-        ids.append(set(r.doc_id for r in docs.collect()))
+        kept = docs.collect()
+        key = lambda r: (r.doc_id, r.text)
         if i < 3:
-            assert docs.columns == corpus_pipeline.COLUMNS
-        assert ids[-1] <= ids[-2], name
-    assert ids[4] == ids[3] and len(ids[2]) < len(ids[1]) < len(ids[0])
-    assert docs.count() == corpus_pipeline.run(spark, DATA).count()
-    random.seed(0)
+            assert docs.columns == columns and {r.n_removed for r in kept} == {5}
+        if i == 0:
+            labels = spark.read.parquet(f"{DATA}/labels.parquet")
+            source = spark.createDataFrame(given, docs.schema)
+            good = {key(r) for r in quality.classify(source, quality.fit(source, labels)).collect() if r.quality_score >= 0.3}
+            assert sorted(map(str, kept)) == sorted(str(r) for r in given if key(r) in good) and 0 < len(kept) < len(given)
+        if i == 1:
+            rows = sorted({key(r) for r in given if r.doc_id is not None})
+            label = [x[1] for x in brute_groups([t for _, t in rows], 5)]
+            assert sorted(key(r) for r in kept if r.doc_id is not None) == [rows[j] for j in sorted(set(label))]
+            assert [r.text for r in kept if r.doc_id is None] == [r.text for r in given if r.doc_id is None]
+        if i == 2:
+            named = sorted((r for r in given if r.doc_id is not None), key=lambda r: r.doc_id)
+            pieces, gone = brute_sentences([r.text for r in named], 12, 20, 40)
+            left = {r.doc_id: r for r in kept}
+            assert len(kept) == len(given) and any(gone) and all(r.n_chars == len(r.text) for r in kept)
+            for r, p, g in zip(named, pieces, gone):
+                assert left[r.doc_id].text.split() == " ".join(x for k, x in enumerate(p) if k not in g).split()
+        if i == 3:
+            packed(kept, 4096)
+            for r in given:
+                size = len(HF[CLIP].encode(r.text, add_special_tokens=False).ids) + 1
+                assert sum(x.length for x in kept if x.doc_id == r.doc_id) == size
+    assert corpus_pipeline.run(spark, DATA).count() > 0
