@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.bitmaps import BITS, bitmap, within
 from codelode.llm.components import components
 from codelode.llm.flat import Rolling, groups, mix, spread_runs
 from codelode.runtime import cut
@@ -81,25 +82,18 @@ def _sampled(docs: DataFrame, width: int, rate: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "value long")
 
 
-def frequent(docs: DataFrame, width: int, rate: int = 8, least: int = 4, bits: int = 25) -> np.ndarray:
-    """A bitmap of 2**bits bits over values' low bits: those that about rate * least documents or
-    more have. The threshold doubles until at most one bit in 16 is set, whatever the input."""
+def frequent(docs: DataFrame, width: int, rate: int = 8, least: int = 3) -> np.ndarray:
+    """A bitmap of values that about rate * least documents or more have. The threshold doubles
+    until at most one bit in 16 is set, whatever the input."""
     counts = cut(_sampled(docs, width, rate).groupBy("value").count().where(F.col("count") >= least))
     levels = counts.groupBy(F.floor(F.log2("count")).alias("level")).count().collect()  # 64 rows at most
-    level = next(x for x in range(65) if sum(r["count"] for r in levels if r["level"] >= x) <= 1 << bits - 4)
-    bit = F.col("value").bitwiseAND((1 << bits) - 1) + 1
-    chosen = counts.where(F.floor(F.log2("count")) >= level).select(bit.alias("bit"))
-    rows = chosen.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        out[(r["part"] - 1) * 4096 :][:4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    level = next(x for x in range(65) if sum(r["count"] for r in levels if r["level"] >= x) <= 1 << BITS - 4)
+    return bitmap(counts.where(F.floor(F.log2("count")) >= level), "value")
 
 
-def retained(values: np.ndarray, bitmap: np.ndarray, percent: int) -> np.ndarray:
+def retained(values: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
     """The values that a set retains, in the common order: frequent ones have the highest bit."""
-    low = (values & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
-    often = (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+    often = within(values, bits)
     values = values >> np.uint64(1)
     n = len(values)
     return np.concatenate([values[~often], values[often] | np.uint64(1 << 63)])[: n + (-percent * n) // 100 + 1]
@@ -135,10 +129,10 @@ def _sized(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def _hopeful(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches leave room for the similarity."""
-    a = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +144,10 @@ def _hopeful(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+
 def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, text of classes: that of the row of the smallest doc_id."""
     wanted = ids.distinct().join(classes.select("id", "doc_id", "text_hash"), "id")
@@ -157,7 +155,7 @@ def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs that exact Jaccard on full sets confirms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +172,21 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, docs)
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _within_long_lists(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 600_000) -> DataFrame:
-    """Links between components of lists (value, id, label) that are too long for a join. Lists
-    of the same largest component are one group; members outside that component meet all, exactly,
-    on full sets in memory. Both sides are dealt out in blocks of about `block` shingles, so that
+def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of lists (value, id, label) as top, id, label, n: lists whose largest component is
+    the same are one group."""
+    per = rows.groupBy("value", "label").count()
+    top = per.groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+    return cut(rows.join(top, "value").select("top", "id", "label").distinct().join(classes.select("id", "n"), "id"))
+
+
+def _within_long_lists(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 600_000) -> DataFrame:
+    """Links between components of lists that are too long for a join: of each group of members
+    those outside the largest component meet all, exactly, on full sets in memory. Both sides are dealt out in blocks of about `block` shingles, so that
     no task holds a whole list. Of the links found in a block only those that join components are
     given: fewer than it has members."""
 
@@ -220,9 +224,6 @@ def _within_long_lists(rows: DataFrame, classes: DataFrame, docs: DataFrame, wid
                     b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    per = rows.groupBy("value", "label").count()
-    top = per.groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    members = cut(rows.join(top, "value").select("top", "id", "label").distinct().join(classes.select("id", "n"), "id"))
     weight = lambda of: F.ceil(F.sum(F.when(of, F.greatest("n", F.lit(300)))) / block)
     sizes = members.groupBy("top").agg(weight(F.lit(True)).alias("inner_blocks"), weight(F.col("label") != F.col("top")).alias("outer_blocks"))
     dealt = members.join(sizes, "top")
@@ -230,7 +231,7 @@ def _within_long_lists(rows: DataFrame, classes: DataFrame, docs: DataFrame, wid
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     inside = dealt.select("top", "id", "label", F.lit(False).alias("outside"), of("inner_blocks").alias("x"), each("outer_blocks").alias("y"))
     outer = dealt.where("label <> top").select("top", "id", "label", F.lit(True).alias("outside"), each("inner_blocks").alias("x"), of("outer_blocks").alias("y"))
-    full = _texts(members.select("id"), classes, docs).mapInArrow(sets, "id long, shingles binary")
+    full = texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
     return inside.union(outer).join(full, "id").groupBy("top", "x", "y").applyInArrow(run, "a long, b long")
 
 
@@ -240,6 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, common:
     sigs = cut(signatures(docs, width, percent))
     same = sigs.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sketch").alias("sketch"))
     classes = cut(same.select(F.monotonically_increasing_id().alias("id"), "row.doc_id", "row.text_hash", "h1", "h2", "n", "sketch"))
+    sketches = classes.select("id", "n", "sketch")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,11 +251,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, common:
             yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes), pa.int64()) for c in ("id", "n"))], ["value", "id", "n"])
 
     rows = classes.select("id", "n", "sketch").mapInArrow(values, "value long, id long, n long")
-    sizes = rows.groupBy("value").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    sizes = rows.groupBy("value").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.count("*").alias("size")).where("size > 1")
     shared = cut(rows.join(sizes, "value"))
-    star = shared.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
-    star = cut(star.where(_sized("na", "nb", percent)).select("a", "b").distinct())
-    links = cut(_links(cut(_hopeful(star, classes.select("id", "n", "sketch"), percent)), classes, docs, width, percent))
+    star = cut(shared.where("id <> first").where(_sized("first_n", "n", percent)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    near = cut(_hopeful(star, sketches, percent))
+    links = cut(_links(near, _texts(_ends(near), classes, docs), width, percent))
     labels = components(links)
     labelled = shared.join(labels, shared.id == labels.node, "left").select("value", "id", "n", "size", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
@@ -262,9 +264,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, common:
     x, y = (short.select("value", F.col("id").alias(i), F.col("n").alias("n" + i), F.col("label").alias("l" + i)) for i in "ab")
     # at most `common` partners a row
     meet = x.join(y, "value").where(_sized("na", "nb", percent)).where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_links(cut(_hopeful(meet, classes.select("id", "n", "sketch"), percent)), classes, docs, width, percent))
-    inner = cut(_within_long_lists(open_.where(F.col("size") > common).select("value", "id", "label"), classes, docs, width, percent))
-    more = more.union(inner)
+    near = cut(_hopeful(meet, sketches, percent))
+    members = _members(open_.where(F.col("size") > common).select("value", "id", "label"), classes)
+    texts = cut(_texts(_ends(near).union(members.select("id")), classes, docs))
+    more = cut(_links(near, texts, width, percent)).union(cut(_within_long_lists(members, texts, width, percent)))
     final = components(links.union(more)) if not more.isEmpty() else labels
     named = cut(classes.join(final, classes.id == final.node, "left").select("doc_id", "text_hash", "h1", "h2", "n", F.coalesce("label", "id").alias("label")))
     least = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
