@@ -8,8 +8,9 @@ codes of a block of rows, the best of the block are scored again exactly in doub
 the best of all blocks are kept.
 
 Results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; a query meets every row but those of its own vec_id; ties go to the
-smaller vec_id; with fewer candidates than `k` all are returned; extra columns are ignored.
+components take no part; a query meets every row but those of its own vec_id, and rows that repeat
+are met as often; of several rows of one vec_id one asks, that of the vector of the smallest hash;
+ties go to the smaller vec_id; with fewer candidates than `k` all are returned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.runtime import cut
+from codelode.runtime import cut, shuffle_width
 
 WORDS = 16
 
@@ -127,16 +128,16 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, sample: int = 16384, again: int = 128, block: int = 8192, query_block: int = 8192, per_task: int = 16384) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`."""
-    schema = "query_id long, vec_id long, score double"
+def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, sample: int = 16384, again: int = 128, block: int = 8192, query_block: int = 8192, row_block: int = 65536) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`. Every block of
+    rows meets every block of queries, each pair in a task of its own; a pair gives each query's
+    best, of which Spark keeps `k` before and after it deals them out by query."""
     spark = rows.sparkSession
     rows, dims = usable(rows, key, vector)
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     train = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow().column(0), dims)
-    book = Codebook(train)
-    sent = spark.sparkContext.broadcast(book)  # 32 bytes a dimension and codeword
+    sent = spark.sparkContext.broadcast(Codebook(train))  # 32 bytes a dimension and codeword
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,45 +145,40 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "vector", "code"])
 
     index = cut(rows.mapInArrow(encode, "vec_id long, vector array<double>, code binary"))
-    counts = index.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    index = index.coalesce(max(1, -(-counts["n"] // per_task)))
-    turns = max(1, -(-counts["q"] // query_block))
-    turn = F.pmod(F.xxhash64("vec_id"), F.lit(turns))
-    found = None
-    for number in range(turns):  # each turn holds about query_block queries against all rows
-        asked = index.where((F.col("vec_id") % every == 0) & (turn == number)).select("vec_id", "vector").toArrow()
-        if not asked.num_rows:
-            continue
-        asked_sent = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), _matrix(asked.column("vector"), dims)))
-
-        def scan(batches: Iterator[pa.RecordBatch], asked_sent=asked_sent) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = asked_sent.value
-            score = np.full((len(queries), k), -np.inf)
-            ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for a in range(0, len(batch), block):
-                    part = batch.slice(a, block)
-                    own, data = part.column("vec_id").to_numpy(), _matrix(part.column("vector"), dims)
-                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(part), -1)
-                    columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
-                    most = min(again, len(part))
-                    for b in range(0, len(queries), 64):
-                        tables = sent.value.tables(queries[b : b + 64])
-                        rough = np.zeros((len(tables), len(part)), np.float32)
-                        for j, column in enumerate(columns):
-                            rough += tables[:, j].take(column, axis=1)
-                        rough[query_ids[b : b + 64, None] == own[None]] = -np.inf
-                        at = np.argpartition(rough, len(part) - most, axis=1)[:, len(part) - most :]
-                        exact = np.einsum("qd,qrd->qr", queries[b : b + 64], data[at])
-                        near = own[at]
-                        exact[near == query_ids[b : b + 64, None]] = -np.inf
-                        score[b : b + 64], ids[b : b + 64] = _best(np.c_[score[b : b + 64], exact], np.c_[ids[b : b + 64], near], k)
-            full = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, full.sum(axis=1))), pa.array(ids[full]), pa.array(score[full])], ["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("vector"), "vector")).alias("least")).select("vec_id", "least.vector")
+    n, q = index.count(), asked.count()
+    # as many blocks of rows as bound a task's memory, or as there are tasks to fill
+    row_blocks = max(1, -(-n // row_block), min(shuffle_width(spark), n // 2048))
+    query_blocks = max(1, -(-q // query_block))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # dealt by place, not by id, as ids may repeat
+    left = index.withColumn("x", F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks)).cast("int")).withColumn("y", each(query_blocks))
+    right = asked.withColumn("y", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("x", each(row_blocks))
+
+    def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        queries, query_ids = _matrix(asked.column("vector"), dims), asked.column("vec_id").to_numpy()
+        score = np.full((len(queries), k), -np.inf)
+        ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+        for a in range(0, len(rows) if len(queries) else 0, block):
+            part = rows.slice(a, block)
+            own, data = part.column("vec_id").to_numpy(), _matrix(part.column("vector"), dims)
+            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(part), -1)
+            columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
+            most = min(again, len(part))
+            for b in range(0, len(queries), 64):
+                tables = sent.value.tables(queries[b : b + 64])
+                rough = np.zeros((len(tables), len(part)), np.float32)
+                for j, column in enumerate(columns):
+                    rough += tables[:, j].take(column, axis=1)
+                rough[query_ids[b : b + 64, None] == own[None]] = -np.inf
+                at = np.argpartition(rough, len(part) - most, axis=1)[:, len(part) - most :]
+                exact = np.einsum("qd,qrd->qr", queries[b : b + 64], data[at])
+                near = own[at]
+                exact[near == query_ids[b : b + 64, None]] = -np.inf
+                score[b : b + 64], ids[b : b + 64] = _best(np.c_[score[b : b + 64], exact], np.c_[ids[b : b + 64], near], k)
+        full = np.isfinite(score)
+        return pa.table({"query_id": pa.array(np.repeat(query_ids, full.sum(axis=1)), pa.int64()), "vec_id": pa.array(ids[full], pa.int64()), "score": pa.array(score[full], pa.float64())})
+
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -251,6 +251,11 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id, r.score) for r in ann.nearest(few).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 3, 1.0), (3, 2, 0.5)]
     assert ann.nearest(few.limit(0)).count() == 0
+    # in many blocks, with rows that repeat: every pair of blocks is met once
+    again = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, row_block=500, query_block=40, block=200).collect()}
+    assert len(again) == 150 * 20 and np.mean([again[q, i + 1][1] >= r.score - 1e-9 for q, v in got.items() for i, r in enumerate(v)]) > 0.95
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (8, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(twice).orderBy("rank").collect()] == [(0, 7, 2.0), (0, 7, 2.0), (0, 8, 0.5)]
 
 
 def test_long_labelled_text(spark, table):
