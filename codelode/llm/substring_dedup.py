@@ -292,8 +292,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep_text also the
     bytes that are left."""
     given = F.col("doc_id").cast("long")
-    # a row's own key; equal rows of one doc_id share it, and all their contexts repeat
-    keyed = docs.select(given.alias("given"), F.coalesce(given, F.xxhash64("text")).alias("doc_id"), F.hash("text", given.isNull()).alias("row"), "text")
+    # a row's own key; equal rows of one doc_id share it, and all their contexts repeat. The last
+    # bit says that there was no doc_id: both joins then need the same columns and deal out once
+    row = F.hash("text").bitwiseAND(-2).bitwiseOR(given.isNull().cast("int"))
+    keyed = docs.select(F.coalesce(given, F.xxhash64("text")).alias("doc_id"), row.alias("row"), "text")
     spans = repeated_spans(keyed, length, gram, in_task)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
@@ -318,4 +320,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100, in_task:
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    return keyed.join(spans, ["doc_id", "row"], "left").select("given", "text", "spans").mapInArrow(run, schema)
+    given = F.when(F.col("row").bitwiseAND(1) == 0, F.col("doc_id"))
+    return keyed.join(spans, ["doc_id", "row"], "left").select(given.alias("given"), "text", "spans").mapInArrow(run, schema)
