@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,9 +65,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def count_words(text: Column) -> Column:
+    """The size of words_of, without the words."""
+    return F.size(F.split(text, r"\s+")) - ((text == "") | text.rlike(r"\A\s")).cast("int") - ((text != "") & text.rlike(r"\s\z")).cast("int")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def estimate_tokens(text: Column) -> Column:
     """Words and half the special signs."""
-    return (F.size(words_of(text)) + F.floor(F.length(F.regexp_replace(text, SPECIALS, "")) / 2)).cast("long")
+    return (count_words(text) + F.floor(F.length(F.regexp_replace(text, SPECIALS, "")) / 2)).cast("long")
 
 
 def chunk_id(content: Column, path: Column, line: Column) -> Column:
@@ -91,39 +102,62 @@ def uuid5_url(text: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def _headed(text: Column, found: Column) -> Column:
+    """What a pattern of headings found; texts without their sign aren't searched."""
+    return F.when(text.contains("#"), found).otherwise("")
+
+
 def title(text: Column, path: Column) -> Column:
     """First heading of level 1, else 2, else the file's name."""
-    first = F.trim(F.regexp_extract(text, r"(?md)^#\s+(.+)$", 1))
-    second = F.trim(F.regexp_extract(text, r"(?md)^##\s+(.+)$", 1))
+    first = _headed(text, F.trim(F.regexp_extract(text, r"(?md)^#\s+(.+)$", 1)))
+    second = _headed(text, F.trim(F.regexp_extract(text, r"(?md)^##\s+(.+)$", 1)))
     stem = F.regexp_replace(file_name(path), r"\.(md|markdown|rst|txt)$", "")
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")), F.when(path != "", stem), F.lit("Documentation"))
 
 
+def without_fences(text: Column) -> Column:
+    return F.when(text.contains("```"), F.regexp_replace(text, FENCE, "")).otherwise(text)
+
+
 #: Phrases that descriptions drop.
 FILLERS = [r"^This document describes?\s+", r"^This guide shows?\s+", r"^This page explains?\s+", r"^This section covers?\s+", r"^The following\s+", r"^In this (document|guide|page|section),?\s+"]
 
 
-def description(text: Column, sentences: int = 3) -> Column:
-    """First sentences of the first paragraph outside headings and fences."""
-    lines = F.transform(F.split(F.regexp_replace(text, FENCE, ""), "\n"), lambda x: F.trim(x))
-    start = F.aggregate(
-        lines,
-        F.struct(F.lit(False).alias("done"), F.lit("").alias("text")),
-        lambda a, x: F.when(a["done"] | x.startswith("#"), a)
-        .when(x == "", F.struct((a["text"] != "").alias("done"), a["text"].alias("text")))
-        .otherwise(F.struct(F.lit(False).alias("done"), F.concat_ws(" ", F.nullif(a["text"], F.lit("")), x).alias("text"))),
-    )["text"]
+def first_paragraph(text: Column) -> Column:
+    """The first lines outside headings and fences up to a blank one, as one line."""
+    body = without_fences(text)
+    body = F.when(text.contains("#"), F.regexp_replace(body, r"(?md)^ *#.*(?:\n|\z)", "")).otherwise(body)
+    block = F.split(F.regexp_replace(body, r"\A[ \n]+", ""), r"\n *\n", 2)[0]
+    return F.trim(F.regexp_replace(block, r" *\n *", " "))
+
+
+def _start(text: Column) -> Column:
+    start = first_paragraph(text)
     for filler in FILLERS:
         start = F.regexp_replace(start, f"(?i){filler}", "")
-    parts = F.slice(F.filter(F.transform(F.split(start, r"[.!?]+\s+"), lambda x: F.trim(x)), lambda x: x != ""), 1, sentences)
+    return start
+
+
+def description(text: Column, sentences: int = 3) -> Column:
+    """First sentences of the first paragraph outside headings and fences."""
+    parts = F.slice(F.filter(F.transform(F.split(_start(text), r"[.!?]+\s+"), lambda x: F.trim(x)), lambda x: x != ""), 1, sentences)
     joined = F.array_join(parts, ". ")
     return F.when((joined == "") | joined.endswith("."), joined).otherwise(F.concat(joined, F.lit(".")))
 
 
+def described(text: Column) -> Column:
+    """Whether there is a description: something beside ends of sentences in the first paragraph."""
+    return F.regexp_replace(_start(text), r"[.!?]+\s+", "").rlike("[^ ]")
+
+
+def fenced(text: Column) -> Column:
+    """Fenced blocks, whole."""
+    return F.when(text.contains("```"), F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def snippets(text: Column) -> Column:
     """X11: fenced blocks as structs of language and code."""
-    whole = F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))
-    return F.transform(whole, lambda x: F.struct(F.coalesce(F.nullif(F.regexp_extract(x, FENCED, 1), F.lit("")), F.lit("text")).alias("language"), F.trim(F.regexp_replace(F.regexp_extract(x, FENCED, 2), r"^\s+|\s+$", "")).alias("code")))
+    return F.transform(fenced(text), lambda x: F.struct(F.coalesce(F.nullif(F.regexp_extract(x, FENCED, 1), F.lit("")), F.lit("text")).alias("language"), F.trim(F.regexp_replace(F.regexp_extract(x, FENCED, 2), r"^\s+|\s+$", "")).alias("code")))
 
 
 def low_value(code: Column, language: Column) -> Column:
@@ -143,14 +177,14 @@ def quality_score(text: Column, path: Column) -> Column:
     """0 to 100."""
     low = F.lower(path)
     size = F.length(text)
-    coded = text.rlike(FENCED)
+    coded = text.contains("```") & text.rlike(FENCED)
     score = (
         F.when(file_name(low).isin("readme.md", "index.md", "readme.rst"), 30).when(low.contains("/docs/") | low.contains("/doc/"), 25).when(~path.contains("/"), 20).otherwise(15)
         + F.when(coded, 25).otherwise(0)
-        + F.when(text.rlike(r"(?md)^#{1,3}\s+"), 10).otherwise(0)
+        + F.when(text.contains("#") & text.rlike(r"(?md)^#{1,3}\s+"), 10).otherwise(0)
         + F.when(size.between(500, 3000), 5).when(size < 200, -10).when(size > 10000, -5).otherwise(0)
-        + F.when((title(text, path) != "") & (title(text, path) != "Documentation"), 5).otherwise(0)
-        + F.when(description(text) != "", 5).otherwise(0)
+        + F.when(~title(text, path).isin("", "Documentation"), 5).otherwise(0)
+        + F.when(described(text), 5).otherwise(0)
         + F.when(path.endswith(".md") | path.endswith(".markdown"), 20).when(path.endswith(".rst"), 15).when(path.endswith(".txt"), 10).otherwise(0)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score.cast("double")))
@@ -171,10 +205,14 @@ def relevance_score(text: Column, path: Column, query: str) -> Column:
 
 def classify(text: Column, path: Column) -> Column:
     """X16."""
-    name, low = file_name(F.lower(path)), F.lower(text)
-    t, r, g = hits(low, TUTORIAL), hits(low, REFERENCE), hits(low, GUIDE)
-    best = F.greatest(t, r, g)
-    return F.when(name.isin("readme.md", "readme.rst", "readme.txt", "index.md", "index.rst", "overview.md"), "overview").when(best == 0, "guide").when(t == best, "tutorial").when(r == best, "reference").otherwise("guide")
+    name = file_name(F.lower(path))
+    counts = let(F.lower(text), lambda low: F.struct(*[hits(low, w).alias(k) for k, w in (("t", TUTORIAL), ("r", REFERENCE), ("g", GUIDE))]))
+
+    def sort(c: Column) -> Column:
+        best = F.greatest(c["t"], c["r"], c["g"])
+        return F.when(best == 0, "guide").when(c["t"] == best, "tutorial").when(c["r"] == best, "reference").otherwise("guide")
+
+    return F.when(name.isin("readme.md", "readme.rst", "readme.txt", "index.md", "index.rst", "overview.md"), "overview").otherwise(let(counts, sort))
 
 
 def priority(path: Column) -> Column:
@@ -186,8 +224,8 @@ def priority(path: Column) -> Column:
 
 def metadata(text: Column, path: Column) -> Column:
     """X18."""
-    words = F.size(words_of(F.regexp_replace(text, FENCE, "")))
-    found = F.size(snippets(text))
+    words = count_words(without_fences(text))
+    found = F.size(fenced(text))
     return F.struct(
         F.round(quality_score(text, path), 1).alias("quality_score"), classify(text, path).alias("document_type"),
         F.greatest(F.lit(1), F.bround(words / 200).cast("int")).alias("reading_time"), found.alias("snippet_count"), (found > 0).alias("has_code_examples"), words.alias("word_count"),

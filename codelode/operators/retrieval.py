@@ -2,36 +2,76 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-
-
-def budget_skip(rows: DataFrame, keys: list[str], budget: int, tokens: str, order: list[Column]) -> DataFrame:
-    """Greedy budget: a row that doesn't fit is skipped, smaller ones after it may still fit.
-
-    Only ranks and sizes go into the fold, a few bytes a row; the rows themselves join afterwards.
-    """
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    sizes = ranked.where(F.col(tokens) <= budget).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", F.col(tokens).cast("long").alias("n")))).alias("all"))
-    kept = F.aggregate(
-        "all",
-        F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<_rank:int,total_tokens:bigint>>").alias("keep")),
-        lambda a, x: F.when(a["total"] + x["n"] <= budget, F.struct((a["total"] + x["n"]).alias("total"), F.array_append(a["keep"], F.struct(x["_rank"].alias("_rank"), (a["total"] + x["n"]).alias("total_tokens"))).alias("keep"))).otherwise(a),
-    )["keep"]
-    chosen = sizes.select(*keys, F.inline(kept))
-    return ranked.join(chosen, [*keys, "_rank"]).drop("_rank")
-
-
-def budget_stop(rows: DataFrame, keys: list[str], budget: int, tokens: str, order: list[Column], least: int = 100) -> DataFrame:
+from codelode.runtime import cut
+
+
+def _spend(rows: DataFrame, keys: list[str], budget: int, stop: bool, batch: int) -> DataFrame:
+    """_row, _place, before and over of the rows of _n > 0 tokens that a budget for each key takes.
+
+    A round gives every key its next `batch` rows, which Spark picks before it deals them out, and
+    folds their sizes. What can't fit any more, or comes after the stop, is gone before the next
+    round; a key takes `budget` rows at most."""
+    left = rows.select(*keys, "_row", "_place", "_n").where(F.col("_n") > 0)
+    left = left if stop else left.where(F.col("_n") <= budget)
+    place, kept, total = left.schema["_place"].dataType.simpleString(), [], None
+    entry = f"struct<_row:bigint,_place:{place},before:bigint,over:boolean>"
+    while True:
+        w = Window.partitionBy(*keys).orderBy("_place")
+        head = left.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= batch)
+        sizes = head.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_place", "_row", "_n"))).alias("all"))
+        if total is not None:
+            sizes = sizes.join(total.select(*keys, F.col("total").alias("_given")), keys)
+        given = F.lit(0).cast("long") if total is None else F.col("_given")
+
+        def take(a, x):
+            fits = a["total"] + x["_n"] <= budget
+            one = F.struct(x["_row"].alias("_row"), x["_place"].alias("_place"), a["total"].alias("before"), (~fits).alias("over"))
+            more = F.struct((a["total"] + F.when(fits, x["_n"]).otherwise(0)).alias("total"), (~fits).alias("done"), F.array_append(a["keep"], one).alias("keep"))
+            return F.when(a["done"], a).otherwise(more) if stop else F.when(fits, F.struct(more["total"].alias("total"), F.lit(False).alias("done"), more["keep"].alias("keep"))).otherwise(a)
+
+        start = F.struct(given.alias("total"), F.lit(False).alias("done"), F.array().cast(f"array<{entry}>").alias("keep"))
+        state = cut(sizes.select(*keys, F.aggregate("all", start, take).alias("s"), F.element_at("all", -1)["_place"].alias("last")))
+        kept.append(state.select(*keys, F.inline("s.keep")))
+        total = state.where(~F.col("s.done")).select(*keys, F.col("s.total").alias("total"), "last")
+        room = F.lit(True) if stop else F.col("_n") <= budget - F.col("total")
+        left = cut(left.join(total, keys).where((F.col("_place") > F.col("last")) & room).select(*keys, "_row", "_place", "_n"))
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, kept)
+
+
+def _placed(rows: DataFrame, tokens: str, order: list[Column]) -> DataFrame:
+    """Rows, written once, with _n tokens and a _place of their own in the order."""
+    own = cut(rows.withColumn("_n", F.col(tokens).cast("long")).withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
+    return own.withColumn("_row", F.monotonically_increasing_id()).withColumn("_place", F.struct("_order", "_row")).drop("_order")
+
+
+def budget_skip(rows: DataFrame, keys: list[str], budget: int, tokens: str, order: list[Column], batch: int = 256) -> DataFrame:
+    """Greedy budget: a row that doesn't fit is skipped, smaller ones after it may still fit. The
+    order is ascending in the columns given. Rows without tokens always fit."""
+    placed = _placed(rows, tokens, order)
+    chosen = cut(_spend(placed, keys, budget, False, batch))
+    sized = placed.join(chosen.select("_row", "before"), "_row").withColumn("total_tokens", F.col("before") + F.col("_n")).drop("before")
+    spent = chosen.join(placed.select("_row", "_n"), "_row").groupBy(*keys).agg(F.collect_list(F.struct("_place", (F.col("before") + F.col("_n")).alias("total"))).alias("_spent"))
+    free = placed.where(F.col("_n") <= 0).join(spent, keys, "left")
+    free = free.withColumn("total_tokens", F.coalesce(F.array_max(F.transform(F.filter("_spent", lambda x: x["_place"] < F.col("_place")), lambda x: x["total"])), F.lit(0).cast("long"))).drop("_spent")
+    return sized.unionByName(free).drop("_row", "_place", "_n")
+
+
+def budget_stop(rows: DataFrame, keys: list[str], budget: int, tokens: str, order: list[Column], least: int = 100, batch: int = 256) -> DataFrame:
     """Running total up to the first overflow; its row is cut if more than `least` tokens remain."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_after", F.sum(tokens).over(w)).withColumn("_before", F.col("_after") - F.col(tokens))
-    over = F.col("_after") > budget
-    first = F.sum(over.cast("int")).over(w)
-    kept = rows.withColumn("_over", first).where((F.col("_over") == 0) | ((F.col("_over") == 1) & over & (budget - F.col("_before") > least)))
-    return kept.select("*", F.when(over, budget - F.col("_before")).otherwise(F.col(tokens)).cast("long").alias("used"), over.alias("truncated")).drop("_before", "_after", "_over")
+    placed = _placed(rows, tokens, order)
+    chosen = cut(_spend(placed, keys, budget, True, batch))
+    ends = chosen.where("over").select(*keys, F.col("_place").alias("_end"))
+    sized = placed.join(chosen.where(~F.col("over") | (budget - F.col("before") > least)).select("_row", "before", "over"), "_row")
+    sized = sized.withColumn("used", F.when(F.col("over"), budget - F.col("before")).otherwise(F.col("_n"))).withColumnRenamed("over", "truncated").drop("before")
+    free = placed.where(F.col("_n") <= 0).join(ends, keys, "left").where("_end is null or _place < _end").drop("_end")
+    return sized.unionByName(free.withColumn("used", F.lit(0).cast("long")).withColumn("truncated", F.lit(False))).drop("_row", "_place", "_n")
 
 
 def documentation(docs: DataFrame, library: str, query: str | None = None, max_tokens: int | None = None, topic: str | None = None) -> DataFrame:
@@ -46,7 +86,7 @@ def documentation(docs: DataFrame, library: str, query: str | None = None, max_t
     if max_tokens is None:
         return rows
     # only sizes and scores are sorted; texts join what is kept
-    kept = budget_skip(rows.select("id", "library", "path", "tokens", "score"), ["library"], max_tokens, "tokens", [F.desc("score"), F.asc("path"), F.asc("id")])
+    kept = budget_skip(rows.select("id", "library", "path", "tokens", "score"), ["library"], max_tokens, "tokens", [-F.col("score"), F.col("path"), F.col("id")])
     return docs.join(kept.drop("library", "path"), "id")
 
 

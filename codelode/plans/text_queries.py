@@ -117,7 +117,7 @@ def w1_budget(spark: SparkSession, d: str) -> DataFrame:
     """Documents by quality until the token budget is full; what doesn't fit is skipped."""
     c, p = F.col("content"), F.col("path")
     rows = docs(spark, d).select("id", "library", T.count_tokens(c).alias("tokens"), T.quality_score(c, p).alias("score"))
-    return retrieval.budget_skip(rows, ["library"], 4000, "tokens", [F.desc("score"), F.asc("id")]).select("id", "library", "tokens", "total_tokens")
+    return retrieval.budget_skip(rows, ["library"], 4000, "tokens", [-F.col("score"), F.col("id")]).select("id", "library", "tokens", "total_tokens")
 
 
 @query(
@@ -128,7 +128,7 @@ SELECT id, library, CASE WHEN before + tokens <= 2000 THEN tokens ELSE 2000 - be
 def w2_budget_stop(spark: SparkSession, d: str) -> DataFrame:
     """Running total, stop at the first overflow, cut its document."""
     rows = docs(spark, d).select("id", "library", T.count_tokens(F.col("content")).alias("tokens"))
-    return retrieval.budget_stop(rows, ["library"], 2000, "tokens", [F.asc("id")]).select("id", "library", "used", "truncated")
+    return retrieval.budget_stop(rows, ["library"], 2000, "tokens", [F.col("id")]).select("id", "library", "used", "truncated")
 
 
 @query(

@@ -14,12 +14,12 @@ def rows(df, *columns):
 
 def test_budgets(spark):
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate([60, 50, 30, 20])], "k string, i int, n long")
-    kept = retrieval.budget_skip(df, ["k"], 100, "n", [F.asc("i")])
+    kept = retrieval.budget_skip(df, ["k"], 100, "n", [F.col("i")])
     assert sorted(rows(kept, "n", "total_tokens")) == [(30, 90), (60, 60)]
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate([600, 500, 30])], "k string, i int, n long")
-    cut = retrieval.budget_stop(df, ["k"], 800, "n", [F.asc("i")])
+    cut = retrieval.budget_stop(df, ["k"], 800, "n", [F.col("i")])
     assert sorted(rows(cut, "used", "truncated")) == [(200, True), (600, False)]
-    assert sorted(rows(retrieval.budget_stop(df, ["k"], 700, "n", [F.asc("i")]), "used")) == [(600,)]
+    assert sorted(rows(retrieval.budget_stop(df, ["k"], 700, "n", [F.col("i")]), "used")) == [(600,)]
 
 
 def test_merge_keeps_best(spark):
@@ -65,3 +65,31 @@ def test_cypher(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_budgets_in_rounds(spark):
+    """Small batches, many keys, rows without tokens: as one plain loop for each key would have it."""
+    import random
+
+    rng = random.Random(4)
+    data = [(k, i, rng.choice([0, 0, 1, 3, 7, 20, 60, 200])) for k in "abc" for i in range(80)] + [("d", 1, 500), ("e", 1, 0)]
+    df = spark.createDataFrame(data, "k string, i int, n int")
+    skip, stop = [], []
+    for key in "abcde":
+        total, running, over = 0, 0, False
+        for k, i, n in data:
+            if k != key:
+                continue
+            if total + n <= 150:
+                total += n
+                skip.append((k, i, n, total))
+            if not over and running + n <= 150:
+                running += n
+                stop.append((k, i, n, False))
+            elif not over:
+                over = True
+                if 150 - running > 20:
+                    stop.append((k, i, 150 - running, True))
+    for batch in (2, 256):
+        assert sorted(map(tuple, retrieval.budget_skip(df, ["k"], 150, "n", [F.col("i")], batch).select("k", "i", "n", "total_tokens").collect())) == sorted(skip)
+        assert sorted(map(tuple, retrieval.budget_stop(df, ["k"], 150, "n", [F.col("i")], 20, batch).select("k", "i", "used", "truncated").collect())) == sorted(stop)
