@@ -18,13 +18,14 @@ Range = tuple[int, int, str, str]  # first line, one past the last, type, sectio
 
 # What starts a section of code, by language.
 BOUNDARIES = {
-    "python": {"class": r"class\s+\w+", "function": r"(?:async\s+)?def\s+\w+"},
-    "javascript": {"class": r"(?:export\s+)?(?:default\s+)?class\s+\w+", "function": r"(?:export\s+)?(?:async\s+)?function\s+\w+", "arrow_function": r"(?:export\s+)?(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\("},
+    "python": {"class": r"class\s+\w+", "function": r"(?:async\s+)?def\s+\w+", "decorator": r"@\w+"},
+    "javascript": {"class": r"(?:export\s+)?class\s+\w+", "function": r"(?:export\s+)?(?:async\s+)?function\s+\w+", "arrow_function": r"(?:export\s+)?(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\(", "method": r"\s+(?:async\s+)?\w+\s*\("},
     "typescript": {"class": r"(?:export\s+)?(?:abstract\s+)?class\s+\w+", "interface": r"(?:export\s+)?interface\s+\w+", "function": r"(?:export\s+)?(?:async\s+)?function\s+\w+", "type": r"(?:export\s+)?type\s+\w+\s*="},
     "java": {"class": r"(?:public|private|protected)?\s*(?:abstract|final)?\s*class\s+\w+", "interface": r"(?:public)?\s*interface\s+\w+", "method": r"\s+(?:public|private|protected)?\s*(?:static)?\s*\w+\s+\w+\s*\("},
     "kotlin": {"class": r"(?:open|data|sealed|abstract)?\s*class\s+\w+", "object": r"object\s+\w+", "fun": r"(?:suspend\s+)?fun\s+\w+", "interface": r"interface\s+\w+"},
     "go": {"struct": r"type\s+\w+\s+struct", "interface": r"type\s+\w+\s+interface", "function": r"func\s+(?:\(\w+\s+\*?\w+\)\s+)?\w+\s*\("},
 }
+# Languages of extensions, and the chunk types of sections.
 CODE = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".kt": "kotlin", ".go": "go"}
 TYPES = {"class": "class", "interface": "class", "function": "function", "fun": "function", "method": "function", "arrow_function": "function"}
 _SPECIAL = re.compile(r"[{}\[\]().,;:!?@#$%^&*+\-=<>/\\|`~]")

@@ -111,10 +111,19 @@ def cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     c = components if components is not None else strong_components(edges)
     s, t = c.select(F.col("id").alias("source"), F.col("component").alias("cs")), c.select(F.col("id").alias("target"), F.col("component").alias("ct"))
     inner = edges.join(s, "source").join(t, "target").where("cs = ct").groupBy("cs").agg(F.count("*").alias("n_edges"))
-    members = c.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+    # only components with edges inside make lists
+    members = c.join(inner.select("cs"), c.component == F.col("cs"), "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
     return members.join(inner, members.component == inner.cs).select("component", "nodes", F.size("nodes").alias("n_nodes"), "n_edges", (2.0 * F.size("nodes") + 1.0 * F.col("n_edges")).alias("impact"))
 
 
+def cycle_members(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """component and id of every node of a cycle, a row each: cycles of any size without lists."""
+    c = components if components is not None else strong_components(edges)
+    s, t = c.select(F.col("id").alias("source"), F.col("component").alias("cs")), c.select(F.col("id").alias("target"), F.col("component").alias("ct"))
+    inner = edges.join(s, "source").join(t, "target").where("cs = ct").select(F.col("cs").alias("component")).distinct()
+    return c.join(inner, "component", "left_semi").select("component", "id")
+
+
 def break_suggestions(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Edges inside cycles by what removing them costs."""
     c = components if components is not None else strong_components(edges)
@@ -264,7 +273,7 @@ def package_coupling(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def hotspots(edges: DataFrame, nodes: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """G25."""
     hub = degrees(edges, nodes).where("total >= 5").select("id", F.lit("high_coupling").alias("reason"), F.least(F.lit(10.0), F.col("total") / 2.0).alias("severity"))
-    cyclic = cycles(edges, components).select(F.explode("nodes").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    cyclic = cycle_members(edges, components).groupBy("id").agg(F.count("*").alias("n"))
     return hub.unionByName(cyclic.select("id", F.lit("cycle_participant").alias("reason"), F.least(F.lit(10.0), F.col("n") * 2.0 + 3.0).alias("severity")))
 
 

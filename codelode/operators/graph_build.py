@@ -4,8 +4,8 @@ symbols: library_id, ord, name, qualified_name, symbol_type, file_path, line_sta
 visibility, bases, implements, parent_class, is_abstract. dependencies: library_id, source, target,
 dependency_type, file_path, line. A graph is two DataFrames: nodes (id, label, node_type, ...) and
 edges (source, target, relation). Where several symbols match a target the one of smallest `ord`
-(for files, the smallest path) is taken. Name suffixes become join keys, so matching is by
-equi joins within a library; only file substrings need a condition on top of the library's key.
+(for files, the smallest path) is taken. All matching is by equi joins: on names' suffixes, on
+paths' prefixes, and for substrings on the rarest short piece of what is looked for.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["library_id", "source", "target", "relation"])
 
 
-def _external(edges: DataFrame, nodes: DataFrame, prefix: str = "external:") -> DataFrame:
-    """Nodes for targets that aren't known."""
+def _external(edges: DataFrame, nodes: DataFrame, kind: str = "external_module", prefix: str = "") -> DataFrame:
+    """Nodes for targets that aren't known, under their own names."""
     extra = edges.select("library_id", F.col("target").alias("id")).distinct().join(nodes, ["library_id", "id"], "left_anti")
-    return extra.select("library_id", "id", F.regexp_replace("id", f"^{prefix}", "").alias("label"), F.lit("external").alias("node_type"), F.lit(None).cast("string").alias("language"))
+    return extra.select("library_id", "id", F.regexp_replace("id", f"^{prefix}", "").alias("label"), F.lit(kind).alias("node_type"), F.lit(None).cast("string").alias("language"))
 
 
 def _nodes(rows: DataFrame, node_id: Column, label: Column, kind: Column, *extra: Column) -> DataFrame:
@@ -51,45 +51,77 @@ def suffixes(name: Column, separator: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
+def prefixes(name: Column) -> Column:
+    """All leading parts of a name that isn't empty, character by character, the whole name included."""
+    return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, 1, i))
+
+
+def _pieces(name: Column, size: int) -> Column:
+    """Distinct stretches of `size` characters; none of a shorter name."""
+    whole = F.transform(F.sequence(F.lit(1), F.length(name) - (size - 1)), lambda i: F.substring(name, i, size))
+    return F.when(F.length(name) >= size, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def first_holder(wanted: DataFrame, paths: DataFrame, size: int = 4) -> DataFrame:
+    """library_id, target, found: the smallest path of the library that holds the target.
+
+    wanted: library_id, target; paths: library_id, path. A target is looked for among the paths
+    that have the rarest of its pieces of `size` characters (of its own length, if it is shorter)."""
+    p, t = F.col("path"), F.col("target")
+    held = paths.select("library_id", "path", F.explode(F.flatten(F.array(*[_pieces(p, n) for n in range(1, size + 1)]))).alias("piece"))
+    counts = held.groupBy("library_id", "piece").count()
+    own = F.coalesce(*[F.when(F.length(t) >= n, _pieces(t, n)) for n in range(size, 0, -1)])
+    asked = wanted.select("library_id", "target", F.explode(own).alias("piece")).join(counts, ["library_id", "piece"], "left")
+    rarest = asked.groupBy("library_id", "target").agg(F.min_by("piece", F.struct("count", "piece")).alias("piece"), F.count_if(F.col("count").isNull()).alias("missing"))
+    near = rarest.where("missing = 0").join(held, ["library_id", "piece"]).where(p.contains(t))
+    return near.groupBy("library_id", "target").agg(F.min("path").alias("found"))
+
+
+def _imports(dependencies: DataFrame, source: Column) -> DataFrame:
+    kept = dependencies.where(F.col("dependency_type").isin("import", "imports") & (F.col("target") != ""))
+    return kept.select("library_id", source.alias("source"), "target").distinct()
+
+
 def file_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
-    """Files, and what they import: the smallest path that holds the target or ends in it."""
+    """Files, and what they import: the smallest path that holds the target (which those
+    that end in target.py do), or else a module outside."""
     files = symbols.groupBy("library_id", "file_path").agg(F.count("*").alias("symbol_count"), F.when(F.count_distinct("language") == 1, F.min("language")).otherwise("mixed").alias("language"))
     nodes = _nodes(files, F.col("file_path"), T.file_name(F.col("file_path")), F.lit("file"), F.col("language"))
-    imports = dependencies.where(F.col("dependency_type").isin("import", "imports") & (F.col("target") != "")).select("library_id", F.col("file_path").alias("source"), "target").distinct()
-    imports = imports.join(nodes.select("library_id", F.col("id").alias("source")), ["library_id", "source"], "left_semi")
-    paths = nodes.select("library_id", F.col("id").alias("path"))
-    hit = F.col("path").contains(F.col("target")) | F.col("path").endswith(F.concat("target", F.lit(".py"))) | F.col("path").contains(F.replace(F.col("target"), F.lit("."), F.lit("/")))
-    wanted = imports.select("library_id", "target").distinct()
-    found = wanted.join(paths, "library_id").where(hit).groupBy("library_id", "target").agg(F.min("path").alias("found"))
-    edges = imports.join(found, ["library_id", "target"], "left").select("library_id", "source", F.coalesce("found", F.concat(F.lit("external:"), "target")).alias("target"), F.lit("imports").alias("relation")).where("source <> target")
-    edges = _distinct(edges)
+    imports = _imports(dependencies, F.col("file_path")).where("source <> ''")
+    found = first_holder(imports.select("library_id", "target").distinct(), nodes.select("library_id", F.col("id").alias("path")))
+    edges = imports.join(found, ["library_id", "target"], "left").select("library_id", "source", F.coalesce("found", "target").alias("target"), F.lit("imports").alias("relation"))
+    edges = _distinct(edges.where("source <> target"))
     return Graph(nodes.unionByName(_external(edges, nodes)), edges, "file")
 
 
 def module_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
-    """Modules by path; a target is a module's name or a dotted suffix of it."""
-    m = T.module_of(F.col("file_path"))
-    rows = symbols.withColumn("module", m)
+    """Modules by path; a target is a module's name or a dotted suffix of it, or else a
+    module outside. Only known modules import."""
+    rows = symbols.withColumn("module", T.module_of(F.col("file_path")))
     per = rows.groupBy("library_id", "module").agg(F.count("*").alias("symbol_count"), F.min_by("language", "ord").alias("language"))
-    nodes = _nodes(per, F.col("module"), F.col("module"), F.lit("module"), F.col("language"))
+    nodes = _nodes(per, F.col("module"), F.element_at(F.split("module", r"\."), -1), F.lit("module"), F.col("language"))
     keys = nodes.select("library_id", "id", F.explode(suffixes(F.col("id"), r"\.")).alias("target")).groupBy("library_id", "target").agg(F.min("id").alias("found"))
-    imports = dependencies.where(F.col("dependency_type").isin("import", "imports") & (F.col("target") != "")).select("library_id", T.module_of(F.col("file_path")).alias("source"), "target").distinct()
-    edges = imports.join(keys, ["library_id", "target"], "left").select("library_id", "source", F.coalesce("found", F.concat(F.lit("external:"), "target")).alias("target"), F.lit("imports").alias("relation")).where("source <> target")
-    edges = _distinct(edges)
+    imports = _imports(dependencies, T.module_of(F.col("file_path"))).join(nodes.select("library_id", F.col("id").alias("source")), ["library_id", "source"], "left_semi")
+    edges = imports.join(keys, ["library_id", "target"], "left").select("library_id", "source", F.coalesce("found", "target").alias("target"), F.lit("imports").alias("relation"))
+    edges = _distinct(edges.where("source <> target"))
     return Graph(nodes.unionByName(_external(edges, nodes)), edges, "module")
 
 
 def package_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
-    """Folders; a target's package is that of the file it names, or a path prefix."""
+    """Folders; a target's package is that of the file that holds it, or else the
+    smallest that starts with it as a path, or that it starts with. Only known files depend."""
     p = T.package_of(F.col("file_path"))
     per = symbols.withColumn("package", p).groupBy("library_id", "package").agg(F.min_by("language", "ord").alias("language"))
-    nodes = _nodes(per, F.col("package"), F.col("package"), F.lit("package"), F.col("language"))
-    deps = dependencies.where(F.col("target") != "").select("library_id", T.package_of(F.col("file_path")).alias("source"), "target", F.col("dependency_type").alias("relation")).distinct()
-    as_path = F.replace(F.col("target"), F.lit("."), F.lit("/"))
-    wanted = deps.select("library_id", "target").distinct()
+    nodes = _nodes(per, F.col("package"), F.when(F.col("package") == ".", "root").otherwise(T.file_name(F.col("package"))), F.lit("package"), F.col("language"))
     files = symbols.select("library_id", "file_path").distinct()
-    by_file = wanted.join(files, "library_id").where(F.col("file_path").contains(as_path)).groupBy("library_id", "target").agg(F.min(T.package_of(F.col("file_path"))).alias("a"))
-    by_prefix = wanted.join(nodes.select("library_id", "id"), "library_id").where(as_path.startswith(F.col("id")) | F.col("id").startswith(as_path)).groupBy("library_id", "target").agg(F.min("id").alias("b"))
+    deps = dependencies.where(F.col("target") != "").join(files, ["library_id", "file_path"], "left_semi").select("library_id", p.alias("source"), "target", F.col("dependency_type").alias("relation")).distinct()
+    wanted = deps.select("library_id", "target").distinct()
+    by_file = first_holder(wanted, files.withColumnRenamed("file_path", "path")).select("library_id", "target", T.package_of(F.col("found")).alias("a"))
+    as_path = wanted.withColumn("way", F.replace(F.col("target"), F.lit("."), F.lit("/")))
+    packages = nodes.select("library_id", "id")
+    within = as_path.select("library_id", "target", F.explode(prefixes(F.col("way"))).alias("id")).join(packages, ["library_id", "id"])
+    above = as_path.join(packages.select("library_id", "id", F.explode(prefixes(F.col("id"))).alias("way")), ["library_id", "way"])
+    by_prefix = within.select("library_id", "target", "id").union(above.select("library_id", "target", "id")).groupBy("library_id", "target").agg(F.min("id").alias("b"))
     edges = deps.join(by_file, ["library_id", "target"], "left").join(by_prefix, ["library_id", "target"], "left").select("library_id", "source", F.coalesce("a", "b").alias("target"), "relation").where("target is not null and source <> target")
     return Graph(nodes, _distinct(edges), "package")
 
@@ -116,7 +148,7 @@ def class_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
     a, b = last.select("library_id", F.col("key").alias("a"), F.col("node").alias("source")), last.select("library_id", F.col("key").alias("b"), F.col("node").alias("target"))
     called = calls.join(a, ["library_id", "a"]).join(b, ["library_id", "b"]).where("source <> target").select("library_id", "source", "target", F.lit("calls").alias("relation"))
     edges = _distinct(by_name("bases", "inherits").union(by_name("implements", "implements")).union(called))
-    return Graph(nodes.unionByName(_external(edges, nodes)), edges, "class")
+    return Graph(nodes.unionByName(_external(edges, nodes, "external", "external:")), edges, "class")
 
 
 def function_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:

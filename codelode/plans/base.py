@@ -94,8 +94,9 @@ SYM = (
 )
 
 
-def edges(spark: SparkSession, d: str, least: int = 47) -> DataFrame:
-    """source, target and relation: neighbouring lines of an order."""
+def edges(spark: SparkSession, d: str, least: int = 0) -> DataFrame:
+    """source, target and relation: neighbouring lines of an order. `least` shapes the graph: over
+    all lines it is one component, and walks have no end but the whole."""
     items = table(spark, d, "lineitem")
     a = items.where(F.col("l_quantity") >= least).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source"))
     b = items.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target"))
@@ -104,11 +105,13 @@ def edges(spark: SparkSession, d: str, least: int = 47) -> DataFrame:
     return e.withColumn("relation", relation)
 
 
-def edge_sql(least: int = 47) -> str:
+def edge_sql(least: int = 0) -> str:
     return f"edge AS (SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target, (['imports', 'calls', 'inherits', 'uses'])[((a.l_partkey + b.l_partkey) % 4 + 1)::INT] AS relation FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= {least})"
 
 
 EDGE = edge_sql()
+#: Lines of a sparse graph with many components, for queries on cycles and layers.
+SPARSE = 47
 
 
 def nodes(e: DataFrame) -> DataFrame:

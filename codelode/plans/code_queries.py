@@ -11,7 +11,9 @@ from codelode.operators import chunk as C
 from codelode.operators import cypher, export
 from codelode.operators import graph as G
 from codelode.operators import graph_build as B
-from codelode.plans.base import DOC, EDGE, NODE, SYM, docs, edges, nodes, query, symbols
+from codelode.plans.base import DOC, EDGE, NODE, SPARSE, SYM, docs, edges, nodes, query, symbols
+from codelode.plans.graph_queries import CYC, PACKAGES, ZONED, R
+from codelode.plans.text_queries import TOKENS
 from codelode.runtime import cut, table
 from codelode.sources import cpg, extract
 from codelode.streaming import progress as P
@@ -21,23 +23,67 @@ def _chunks(spark: SparkSession, d: str, strategy: str) -> DataFrame:
     return C.chunk(docs(spark, d), strategy).select("id", "source_file", "chunk_type", "start_line", "end_line", "token_count")
 
 
-@query()
+def _chunk_sql(size: str, room: int, overlap: int, least: int, where: str = "true", also: str = "") -> str:
+    """Ranges of lines that fill `room`, each from the last lines of the one before, up to `overlap`.
+    A state is a range's first line and the last one that is in it in any case."""
+    end = f"coalesce(list_min(list_filter(range(seen + 1, n), lambda j: cum[j + 2] - cum[lo + 1] > {room})), n)"
+    tokens = TOKENS.replace("content", "text")
+    return f"""WITH RECURSIVE {DOC}, l AS (SELECT *, string_split(content, chr(10)) AS lines FROM doc WHERE content <> '' AND {where}),
+s AS (SELECT path, lines, len(lines) AS n, list_transform(lines, lambda content: {size}) AS sizes FROM l), c AS (SELECT path, lines, n, list_transform(range(n + 1), lambda i: coalesce(list_sum(sizes[1:i]), 0)) AS cum, row_number() OVER () AS doc FROM s),
+state AS (SELECT doc, 0::BIGINT AS lo, 0::BIGINT AS seen FROM c UNION ALL SELECT doc, list_min(list_filter(range(lo, stop + 1), lambda a: cum[stop + 1] - cum[a + 1] <= {overlap})), stop FROM (SELECT state.*, cum, n, {end} AS stop FROM state JOIN c USING (doc)) WHERE stop < n),
+r AS (SELECT path, lo, {end} AS stop, lines, cum FROM state JOIN c USING (doc)), t AS (SELECT path, lo, stop, array_to_string(lines[lo + 1:stop], chr(10)) AS text FROM r), k AS (SELECT *, {tokens}::INT AS token_count FROM t)
+SELECT substr(sha256(path || ':' || (lo + 1) || ':' || substr(text, 1, 100)), 1, 16) AS id, path AS source_file, CASE WHEN ends_with(path, '.md') THEN 'documentation' ELSE 'code' END AS chunk_type, (lo + 1)::INT AS start_line, stop::INT AS end_line, token_count FROM k WHERE {least}{also}"""
+
+
+@query(_chunk_sql("length(content) + 1", 1000, 100, "length(text) >= 50"))
 def h1_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "fixed_size")
 
 
-@query()
+@query(_chunk_sql(TOKENS, 500, 50, "token_count >= 20"))
 def h2_token_chunks(spark: SparkSession, d: str) -> DataFrame:
     """H2, H6."""
     return _chunks(spark, d, "embedding")
 
 
-@query()
+AUTO = _chunk_sql("length(content) + 1", 1000, 100, "length(text) >= 50", "NOT ends_with(path, '.md')")
+MARKDOWN = _chunk_sql("length(content) + 1", 2000, 100, "length(text) >= 50", "ends_with(path, '.md')")
+
+
+@query(f"SELECT * FROM ({AUTO}) UNION ALL SELECT * FROM ({MARKDOWN})")
 def h5_auto_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """H3-H5."""
+    """H5, H1: no headings and no code in these documents."""
     return _chunks(spark, d, "auto")
 
 
+#: Small sources, and the lines where their sections begin and end.
+SOURCES = {
+    "a.py": "import os\n\n@cached\ndef one(x):\n    return x\n\nclass Two:\n    @property\n    def y(self):\n        return 1\nasync def three():\n    pass",
+    "b.js": "import x from 'y'\nexport class A {\n  run(a) {\n    go(a)\n  }\n}\nconst f = async (x) => {\n}\nasync function g() {\n}",
+    "c.ts": "export abstract class B {\n}\nexport interface I {\n}\ntype T = string",
+    "d.go": "package d\n\ntype S struct {\n}\nfunc (s *S) Run(x int) {\n}",
+    "e.kt": "data class K(val a: Int)\nsuspend fun go() {\n}\nobject O {\n}",
+    "f.md": "# Top\nIntro.\n\n## Part one\nText.\n### Deeper\nMore.\n## Part two\nEnd.",
+    "g.java": "package g;\npublic class G {\n    public int run(int a) {\n    }\n}",
+}
+SECTIONS = [
+    ("a.py", 1, 2, "code", "module_header"), ("a.py", 3, 3, "code", "decorator"), ("a.py", 4, 6, "function", "function"), ("a.py", 7, 10, "class", "class"), ("a.py", 11, 12, "function", "function"),
+    ("b.js", 1, 1, "code", "module_header"), ("b.js", 2, 2, "class", "class"), ("b.js", 3, 3, "function", "method"), ("b.js", 4, 6, "function", "method"), ("b.js", 7, 8, "function", "arrow_function"), ("b.js", 9, 10, "function", "function"),
+    ("c.ts", 1, 2, "class", "class"), ("c.ts", 3, 4, "class", "interface"), ("c.ts", 5, 5, "code", "type"),
+    ("d.go", 1, 2, "code", "module_header"), ("d.go", 3, 4, "code", "struct"), ("d.go", 5, 6, "function", "function"),
+    ("e.kt", 1, 1, "class", "class"), ("e.kt", 2, 3, "function", "fun"), ("e.kt", 4, 5, "code", "object"),
+    ("f.md", 1, 3, "documentation", "preamble"), ("f.md", 4, 5, "documentation", "Part one"), ("f.md", 6, 7, "documentation", "Deeper"), ("f.md", 8, 9, "documentation", "Part two"),
+    ("g.java", 1, 1, "code", "module_header"), ("g.java", 2, 2, "class", "class"), ("g.java", 3, 5, "function", "method"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, SECTIONS)) + ") AS t(source_file, start_line, end_line, chunk_type, section)")
+def h3_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Every boundary of the languages, on small sources."""
+    files = spark.createDataFrame(list(SOURCES.items()), "path string, content string")
+    return C.chunk(files, "auto").select("source_file", "start_line", "end_line", "chunk_type", "section")
+
+
 CATS = ", ".join(f"CASE WHEN contains(lower(content), '{c}') THEN '{c}' END" for c in N.CATEGORIES)
 
 
@@ -76,30 +122,57 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = s.select(F.col("ord").alias("target"), F.col("qualified_name").alias("tn"), F.col("file_path").alias("tf"))
     j = e.join(a, "source").join(b, "target")
     kind = F.when(F.col("relation") == "imports", "import").otherwise("call")
-    target = F.when(F.col("relation") == "imports", F.regexp_replace(F.replace("tf", F.lit("/"), F.lit(".")), r"\.py$", "")).otherwise(F.col("tn"))
+    dotted = F.regexp_replace(F.replace("tf", F.lit("/"), F.lit(".")), r"\.py$", "")
+    # whole dotted names, their last parts, and parts of paths
+    way = (F.col("source") + 2 * F.col("target")) % 3
+    imported = F.when(way == 0, dotted).when(way == 1, F.regexp_replace(dotted, r"^src\.", "")).otherwise(F.regexp_replace("tf", r"^src/|\.py$", ""))
+    target = F.when(F.col("relation") == "imports", imported).otherwise(F.col("tn"))
     return s, j.select(F.lit(0).cast("long").alias("library_id"), F.col("sn").alias("source"), target.alias("target"), kind.alias("dependency_type"), "file_path", F.lit(1).alias("line"))
 
 
-PARTS = f"{SYM}, {EDGE}, dep AS (SELECT a.qualified_name AS source, CASE WHEN relation = 'imports' THEN regexp_replace(replace(b.file_path, '/', '.'), '\\.py$', '') ELSE b.qualified_name END AS target, CASE WHEN relation = 'imports' THEN 'import' ELSE 'call' END AS kind, a.file_path FROM edge JOIN sym a ON a.ord = source JOIN sym b ON b.ord = target)"
+DOTTED = "regexp_replace(replace(b.file_path, '/', '.'), '\\.py$', '')"
+IMPORTED = f"CASE (source + 2 * target) % 3 WHEN 0 THEN {DOTTED} WHEN 1 THEN regexp_replace({DOTTED}, '^src\\.', '') ELSE regexp_replace(b.file_path, '^src/|\\.py$', '', 'g') END"
+PARTS = f"{SYM}, {EDGE}, dep AS (SELECT a.qualified_name AS source, CASE WHEN relation = 'imports' THEN {IMPORTED} ELSE b.qualified_name END AS target, CASE WHEN relation = 'imports' THEN 'import' ELSE 'call' END AS kind, a.file_path FROM edge JOIN sym a ON a.ord = source JOIN sym b ON b.ord = target)"
+FILES = "f AS (SELECT DISTINCT file_path AS p FROM sym), t AS (SELECT DISTINCT target FROM dep WHERE kind = 'import'), h AS (SELECT target, min(p) AS found FROM t JOIN f ON contains(p, target) OR ends_with(p, target || '.py') GROUP BY 1)"
 
 
-@query(f"WITH {PARTS}, f AS (SELECT DISTINCT file_path AS p FROM sym), t AS (SELECT DISTINCT target FROM dep WHERE kind = 'import'), h AS (SELECT target, min(p) AS found FROM t JOIN f ON contains(p, target) OR ends_with(p, target || '.py') OR contains(p, replace(target, '.', '/')) GROUP BY 1) SELECT DISTINCT file_path AS source, found AS target, 'imports' AS relation FROM dep JOIN h USING (target) WHERE kind = 'import' AND file_path <> found")
+@query(f"WITH {PARTS}, {FILES} SELECT DISTINCT file_path AS source, coalesce(found, target) AS target, 'imports' AS relation FROM dep LEFT JOIN h USING (target) WHERE kind = 'import' AND file_path <> coalesce(found, target)")
 def g1_file_graph(spark: SparkSession, d: str) -> DataFrame:
     """G1, J3, J7, U3."""
     return B.build("file", *_parts(spark, d)).edges.select("source", "target", "relation")
 
 
-@query(f"WITH {PARTS} SELECT DISTINCT regexp_replace(replace(file_path, '/', '.'), '\\.py$', '') AS source, target, 'imports' AS relation FROM dep WHERE kind = 'import' AND regexp_replace(replace(file_path, '/', '.'), '\\.py$', '') <> target")
+@query(
+    f"""WITH {PARTS}, {FILES}, e AS (SELECT DISTINCT file_path AS source, coalesce(found, target) AS target FROM dep LEFT JOIN h USING (target) WHERE kind = 'import')
+SELECT p AS id, regexp_extract(p, '[^/]*$') AS label, 'file' AS node_type FROM f UNION ALL SELECT DISTINCT target, target, 'external_module' FROM e WHERE source <> target AND target NOT IN (SELECT p FROM f)"""
+)
+def g1_file_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Files, and the modules outside that they import."""
+    return B.build("file", *_parts(spark, d)).nodes.select("id", "label", "node_type")
+
+
+MODULE = "regexp_replace(replace(file_path, '/', '.'), '\\.py$', '')"
+
+
+@query(
+    f"""WITH {PARTS}, m AS (SELECT DISTINCT {MODULE} AS id FROM sym), i AS (SELECT DISTINCT {MODULE} AS source, target FROM dep WHERE kind = 'import'),
+h AS (SELECT target, min(id) AS found FROM (SELECT DISTINCT target FROM i) JOIN m ON id = target OR ends_with(id, '.' || target) GROUP BY 1)
+SELECT DISTINCT source, coalesce(found, target) AS target, 'imports' AS relation FROM i LEFT JOIN h USING (target) WHERE source <> coalesce(found, target)"""
+)
 def g2_module_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Every target is a known module's full name here."""
+    """G2, J4, J7."""
     return B.build("module", *_parts(spark, d)).edges.select("source", "target", "relation")
 
 
-@query(f"WITH {PARTS} SELECT DISTINCT regexp_extract(file_path, '^(.*)/', 1) AS source, regexp_replace(replace(target, '.', '/'), '/[^/]*$', '') AS target, kind AS relation FROM dep WHERE kind = 'import' AND regexp_extract(file_path, '^(.*)/', 1) <> regexp_replace(replace(target, '.', '/'), '/[^/]*$', '')")
+@query(
+    f"""WITH {PARTS}, pk AS (SELECT DISTINCT regexp_extract(file_path, '^(.*)/', 1) AS id FROM sym), i AS (SELECT DISTINCT regexp_extract(file_path, '^(.*)/', 1) AS source, target, kind FROM dep),
+f AS (SELECT DISTINCT file_path AS p FROM sym), t AS (SELECT DISTINCT target FROM i), h AS (SELECT target, regexp_extract(min(p), '^(.*)/', 1) AS a FROM t JOIN f ON contains(p, target) OR ends_with(p, target || '.py') GROUP BY 1),
+w AS (SELECT target, min(id) AS b FROM t JOIN pk ON starts_with(replace(target, '.', '/'), id) OR starts_with(id, replace(target, '.', '/')) GROUP BY 1)
+SELECT DISTINCT source, coalesce(a, b) AS target, kind AS relation FROM i LEFT JOIN h USING (target) LEFT JOIN w USING (target) WHERE coalesce(a, b) IS NOT NULL AND source <> coalesce(a, b)"""
+)
 def g3_package_graph(spark: SparkSession, d: str) -> DataFrame:
-    """G3, J5, on the imports."""
-    s, deps = _parts(spark, d)
-    return B.build("package", s, deps.where("dependency_type = 'import'")).edges.select("source", "target", "relation")
+    """G3, J5."""
+    return B.build("package", *_parts(spark, d)).edges.select("source", "target", "relation")
 
 
 CLS = "ty AS (SELECT *, file_path || ':' || name AS id FROM sym WHERE symbol_type IN ('class', 'interface', 'enum')), fst AS (SELECT name, arg_min(id, ord) AS found FROM ty GROUP BY 1), base AS (SELECT id AS source, replace(name, 'red', 'blue') AS b FROM ty WHERE ord % 5 = 0)"
@@ -132,7 +205,13 @@ def export_dot(spark: SparkSession, d: str) -> DataFrame:
     return export.dot(nodes(e).withColumn("label", F.col("id")), e)
 
 
-@query()
+GRAPHML = """'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '  <key id="label" for="node" attr.name="label" attr.type="string"/>' || chr(10) || '  <key id="relation" for="edge" attr.name="relation" attr.type="string"/>' || chr(10) || '  <graph edgedefault="directed">' || chr(10)"""
+
+
+@query(
+    f"""WITH {EDGE}, {NODE} SELECT {GRAPHML} || (SELECT string_agg('    <node id="n' || id || '"><data key="label">n' || id || '</data></node>', chr(10) ORDER BY 'n' || id) FROM node) || chr(10)
+|| (SELECT string_agg('    <edge source="n' || source || '" target="n' || target || '"><data key="relation">' || relation || '</data></edge>', chr(10) ORDER BY 'n' || source, 'n' || target) FROM edge) || chr(10) || '  </graph>' || chr(10) || '</graphml>' AS text"""
+)
 def export_graphml(spark: SparkSession, d: str) -> DataFrame:
     e = cut(edges(spark, d).select(*[F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) for c in ("source", "target")], "relation"))
     return export.graphml(nodes(e).withColumn("label", F.col("id")), e)
@@ -144,29 +223,45 @@ def export_mermaid(spark: SparkSession, d: str) -> DataFrame:
     return export.mermaid(e.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), "relation"))
 
 
-@query()
+@query(
+    f"""WITH {EDGE}, {NODE} SELECT '{{"graph":{{"label":"graph","directed":true,"nodes":{{' || (SELECT string_agg('"' || id || '":{{"label":"' || id || '","node_type":"part"}}', ',' ORDER BY id::VARCHAR) FROM node)
+|| '}},"edges":[' || (SELECT string_agg('{{"source":' || source || ',"target":' || target || ',"relation":"' || relation || '"}}', ',' ORDER BY source, target) FROM edge) || ']}}}}' AS text"""
+)
 def export_json_graph(spark: SparkSession, d: str) -> DataFrame:
     e = cut(edges(spark, d))
     n = nodes(e).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("label"), F.lit("part").alias("node_type"))
     return export.json_graph(n, e)
 
 
-@query()
+@query(
+    f"""{R}, {CYC}, cn AS (SELECT DISTINCT unnest(nodes) AS id FROM cyc), g AS (SELECT n.id, coalesce(i.n, 0) AS a, coalesce(o.n, 0) AS b FROM node n LEFT JOIN (SELECT target, count(*) AS n FROM edge GROUP BY 1) i ON i.target = n.id LEFT JOIN (SELECT source, count(*) AS n FROM edge GROUP BY 1) o ON o.source = n.id)
+SELECT id, '{{"id":' || id || ',"label":"' || id || '","in_degree":' || a || ',"out_degree":' || b || ',"total":' || (a + b) || ',"in_cycle":' || (id IN (SELECT id FROM cn)) || '}}' AS payload FROM g"""
+)
 def g34_interactive(spark: SparkSession, d: str) -> DataFrame:
-    e = cut(edges(spark, d))
-    return export.interactive(G.degrees(e, nodes(e)), G.cycles(e).select(F.explode("nodes").alias("id")))
+    e = cut(edges(spark, d, SPARSE))
+    return export.interactive(G.degrees(e, nodes(e)), G.cycle_members(e).select("id"))
 
 
-@query()
+@query(
+    f"""WITH {SYM}, x AS (SELECT 0 AS part, symbol_type AS a, 0 AS o, '- ' || symbol_type || ': ' || count(*) AS line FROM sym GROUP BY symbol_type UNION ALL
+SELECT 1, symbol_type || ':' || qualified_name, ord, '- `' || qualified_name || '` (' || symbol_type || ')' FROM sym WHERE symbol_type IN ('class', 'function') QUALIFY row_number() OVER (PARTITION BY symbol_type ORDER BY qualified_name, ord) <= 10)
+SELECT '# Summary' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY part, a, o) AS text FROM x"""
+)
 def g35_summary(spark: SparkSession, d: str) -> DataFrame:
     """G35, G37."""
     return export.summary(symbols(spark, d))
 
 
-@query()
+@query(
+    f"""{R}, {CYC}, s AS (SELECT (SELECT count(*) FROM node) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges, (SELECT count(*) FROM cyc) AS n_cycles), u AS (SELECT *, (15.0 * n_cycles + 2.0 * greatest(0.0, n_edges / n_nodes - 3) * n_nodes + 0.1 * greatest(0, n_nodes - 50))::DOUBLE AS xs FROM s),
+top AS (SELECT * FROM cyc ORDER BY 2.0 * n_nodes + n_edges DESC, component LIMIT 10), {SYM}, {PACKAGES},
+x AS (SELECT 0 AS part, '' AS a, 'Score ' || round(xs, 2) || ', grade ' || CASE WHEN xs < 20 THEN 'A' WHEN xs < 40 THEN 'B' WHEN xs < 60 THEN 'C' WHEN xs < 80 THEN 'D' ELSE 'F' END || ', nodes ' || n_nodes || ', edges ' || n_edges AS line FROM u
+UNION ALL SELECT 1, lpad(component::VARCHAR, 20, '0'), '- cycle of ' || n_nodes || ' nodes and ' || n_edges || ' edges' FROM top UNION ALL SELECT 2, zone, '- ' || zone || ': ' || count(*) FROM ({ZONED}) GROUP BY zone)
+SELECT '# Architecture' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY part, a) AS text FROM x"""
+)
 def g36_architecture(spark: SparkSession, d: str) -> DataFrame:
     """G33, G36."""
-    e = cut(edges(spark, d))
+    e = cut(edges(spark, d, SPARSE))
     c = cut(G.strong_components(e))
     s = symbols(spark, d).select(F.col("ord").alias("id"), T.package_of(F.col("file_path")).alias("package"), "symbol_type", "is_abstract")
     return export.architecture(G.xs_metrics(e, nodes(e), 0, c), G.cycles(e, c), G.package_coupling(e, s))
@@ -175,7 +270,7 @@ def g36_architecture(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def g31_circuits(spark: SparkSession, d: str) -> DataFrame:
     """The first 50 circuits, as its reports have them."""
-    return G.circuits(edges(spark, d), 50)
+    return G.circuits(edges(spark, d, SPARSE), 50)
 
 
 @query(f"WITH {SYM} SELECT count(*) AS count FROM sym WHERE symbol_type = 'class' AND is_exported AND visibility = 'public' AND language = 'go'")

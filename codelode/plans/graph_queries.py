@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.operators import graph as G
-from codelode.plans.base import EDGE, NODE, SYM, edge_sql, edges, nodes, query, rounded, symbols
+from codelode.plans.base import EDGE, NODE, SPARSE, SYM, edge_sql, edges, nodes, query, rounded, symbols
 from codelode.runtime import cut
 
 B = f"WITH {EDGE}, {NODE}"
-R = f"WITH RECURSIVE {EDGE}, {NODE}, pairs AS (SELECT DISTINCT source, target FROM edge), reach AS (SELECT source AS a, target AS b FROM pairs UNION SELECT r.a, p.target FROM reach r JOIN pairs p ON r.b = p.source), comp AS (SELECT n.id, least(n.id, coalesce(min(r.b), n.id)) AS component FROM node n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = n.id GROUP BY n.id)"
+R = f"WITH RECURSIVE {edge_sql(SPARSE)}, {NODE}, pairs AS (SELECT DISTINCT source, target FROM edge), reach AS (SELECT source AS a, target AS b FROM pairs UNION SELECT r.a, p.target FROM reach r JOIN pairs p ON r.b = p.source), comp AS (SELECT n.id, least(n.id, coalesce(min(r.b), n.id)) AS component FROM node n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = n.id GROUP BY n.id)"
 CYC = "inner_edge AS (SELECT e.*, cs.component FROM edge e JOIN comp cs ON cs.id = e.source JOIN comp ct ON ct.id = e.target AND ct.component = cs.component), cyc AS (SELECT c.component, list(c.id ORDER BY c.id) AS nodes, count(*)::INT AS n_nodes, any_value(k.n)::BIGINT AS n_edges FROM comp c JOIN (SELECT component, count(*) AS n FROM inner_edge GROUP BY 1) k ON k.component = c.component GROUP BY 1)"
 COUP = "cpl AS (SELECT n.id, coalesce(a.ca, 0)::BIGINT AS ca, coalesce(e.ce, 0)::BIGINT AS ce, CASE WHEN coalesce(a.ca, 0) + coalesce(e.ce, 0) > 0 THEN coalesce(e.ce, 0) / (coalesce(a.ca, 0) + coalesce(e.ce, 0)) ELSE 0.0 END AS instability FROM node n LEFT JOIN (SELECT target, count(DISTINCT source) AS ca FROM edge WHERE source <> target GROUP BY 1) a ON a.target = n.id LEFT JOIN (SELECT source, count(DISTINCT target) AS ce FROM edge WHERE source <> target GROUP BY 1) e ON e.source = n.id)"
 RISK = "CASE WHEN ca >= 10 AND ce >= 10 THEN 'critical' WHEN ca >= 15 OR (ca >= 10 AND instability > 0.7) THEN 'high' WHEN ce >= 15 OR ca >= 5 OR ce >= 5 THEN 'medium' ELSE 'low' END"
@@ -54,38 +54,60 @@ def l12_refactoring_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{R} SELECT * FROM comp")
 def g14_strong_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.strong_components(edges(spark, d))
+    return G.strong_components(edges(spark, d, SPARSE))
+
+
+@query(
+    f"""WITH RECURSIVE {EDGE}, {NODE}, one AS (SELECT min(id) AS id FROM node), ahead AS (SELECT id FROM one UNION SELECT target FROM ahead JOIN edge ON source = id), back AS (SELECT id FROM one UNION SELECT source FROM back JOIN edge ON target = id)
+SELECT n.id, CASE WHEN n.id IN (SELECT id FROM ahead) AND n.id IN (SELECT id FROM back) THEN (SELECT id FROM one) ELSE n.id END AS component FROM node n"""
+)
+def g14_all_lines(spark: SparkSession, d: str) -> DataFrame:
+    """G14 over all lines, by the distributed loops: one component and, if any, single nodes."""
+    return G.strong_components(edges(spark, d), small=0)
+
+
+@query(f"{R} SELECT id, component FROM comp")
+def g14_loops(spark: SparkSession, d: str) -> DataFrame:
+    """G14 over the sparse graph, by the distributed loops."""
+    return G.strong_components(edges(spark, d, SPARSE), small=0)
+
+
+@query(f"{R}, {CYC}, {_lv()} SELECT id, level FROM lvl")
+def g21_loops(spark: SparkSession, d: str) -> DataFrame:
+    """G18, G21, by the distributed loops."""
+    e = cut(edges(spark, d, SPARSE))
+    return G.layers(e, nodes(e), small=0)
 
 
 @query(f"{R}, {CYC} SELECT component, nodes, n_nodes, n_edges, (2.0 * n_nodes + n_edges)::DOUBLE AS impact FROM cyc")
 def g15_cycle_impact(spark: SparkSession, d: str) -> DataFrame:
     """G14, G15, A16."""
-    return G.cycles(edges(spark, d))
+    return G.cycles(edges(spark, d, SPARSE))
 
 
 @query(f"{R}, {CYC} SELECT i.source, i.target, i.relation, (f.n + CASE WHEN relation IN ('inherits', 'implements') THEN 10 WHEN relation IN ('imports', 'uses') THEN -1 ELSE 0 END)::DOUBLE AS impact FROM inner_edge i JOIN (SELECT target, count(*) AS n FROM edge GROUP BY 1) f ON f.target = i.target")
 def g16_break_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """G16, A17."""
-    return G.break_suggestions(edges(spark, d))
+    return G.break_suggestions(edges(spark, d, SPARSE))
 
 
 @query(f"{R}, {CYC}, {_lv()} SELECT id, level FROM lvl")
 def g21_layers(spark: SparkSession, d: str) -> DataFrame:
     """G18, G21."""
-    e = edges(spark, d)
+    e = edges(spark, d, SPARSE)
     return G.layers(e, nodes(e))
 
 
 @query(f"{R}, {_lv()}, p AS (SELECT id, row_number() OVER (ORDER BY level, id) - 1 AS place FROM lvl) SELECT DISTINCT source, target, r.place AS row, c.place AS col FROM edge JOIN p r ON r.id = source JOIN p c ON c.id = target")
 def g17_matrix(spark: SparkSession, d: str) -> DataFrame:
     """G17, W8."""
-    e = cut(edges(spark, d))
+    e = cut(edges(spark, d, SPARSE))
     return G.dependency_matrix(e, G.layers(e, nodes(e)))
 
 
 @query(f"{R}, {_lv()}, p AS (SELECT id, row_number() OVER (ORDER BY level, id) - 1 AS place FROM lvl), m AS (SELECT DISTINCT source, target, r.place AS row, c.place AS col FROM edge JOIN p r ON r.id = source JOIN p c ON c.id = target) SELECT count(*) FILTER (col > row) = 0 AS layered, count(*) AS cells FROM m")
 def g19_is_layered(spark: SparkSession, d: str) -> DataFrame:
-    e = cut(edges(spark, d))
+    e = cut(edges(spark, d, SPARSE))
     return G.is_layered(G.dependency_matrix(e, G.layers(e, nodes(e))))
 
 
@@ -98,14 +120,14 @@ def g32_generations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{R}, {CYC}, cn AS (SELECT unnest(nodes) AS id FROM cyc), deg AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM edge UNION ALL SELECT target FROM edge) GROUP BY 1) SELECT id, 'high_coupling' AS reason, least(10.0, n / 2.0)::DOUBLE AS severity FROM deg WHERE n >= 5 UNION ALL SELECT id, 'cycle_participant', least(10.0, count(*) * 2.0 + 3.0)::DOUBLE FROM cn GROUP BY 1")
 def g25_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    e = cut(edges(spark, d))
+    e = cut(edges(spark, d, SPARSE))
     return G.hotspots(e, nodes(e))
 
 
 @query(f"{R}, {CYC}, s AS (SELECT (SELECT count(*) FROM node) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges, (SELECT count(*) FROM cyc) AS n_cycles), t AS (SELECT *, n_edges / n_nodes AS avg_coupling FROM s), u AS (SELECT *, (15.0 * n_cycles + 2.0 * greatest(0.0, avg_coupling - 3) * n_nodes + 0.1 * greatest(0, n_nodes - 50))::DOUBLE AS xs_score FROM t) SELECT n_nodes, n_edges, n_cycles, round(avg_coupling, 6) AS avg_coupling, round(xs_score, 6) AS xs_score, CASE WHEN xs_score < 20 THEN 'A' WHEN xs_score < 40 THEN 'B' WHEN xs_score < 60 THEN 'C' WHEN xs_score < 80 THEN 'D' ELSE 'F' END AS grade FROM u")
 def g24_xs_score(spark: SparkSession, d: str) -> DataFrame:
     """G24, X40."""
-    e = cut(edges(spark, d))
+    e = cut(edges(spark, d, SPARSE))
     return rounded(G.xs_metrics(e, nodes(e)), "avg_coupling", "xs_score")
 
 
@@ -116,10 +138,10 @@ def g9_traversal(spark: SparkSession, d: str) -> DataFrame:
     return G.reachable(e, e.agg(F.min("source").alias("id")), 3, "both")
 
 
-@query(f"WITH RECURSIVE {EDGE}, {NODE}, root AS (SELECT id FROM node WHERE id NOT IN (SELECT target FROM edge)), walk AS (SELECT id, 0 AS lv FROM root UNION SELECT target, lv + 1 FROM walk JOIN edge ON source = id WHERE lv < 2), kept AS (SELECT DISTINCT id FROM walk) SELECT source, target, relation FROM edge WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)")
+@query(f"WITH RECURSIVE {edge_sql(SPARSE)}, {NODE}, root AS (SELECT id FROM node WHERE id NOT IN (SELECT target FROM edge)), walk AS (SELECT id, 0 AS lv FROM root UNION SELECT target, lv + 1 FROM walk JOIN edge ON source = id WHERE lv < 2), kept AS (SELECT DISTINCT id FROM walk) SELECT source, target, relation FROM edge WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)")
 def g8_depth_limit(spark: SparkSession, d: str) -> DataFrame:
     """G8, U5, J12."""
-    e = cut(edges(spark, d))
+    e = cut(edges(spark, d, SPARSE))
     return G.limit_depth(e, nodes(e), 2)[1]
 
 
@@ -144,10 +166,11 @@ def g22_rules(spark: SparkSession, d: str) -> DataFrame:
     return G.check_rules(edges(spark, d).select(name("source").alias("source"), name("target").alias("target")), RULES)
 
 
-PKG = f"WITH {EDGE}, {SYM}, p AS (SELECT ord AS id, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS package, symbol_type, is_abstract FROM sym), b AS (SELECT DISTINCT x.package AS s, y.package AS t FROM edge JOIN p x ON x.id = source JOIN p y ON y.id = target WHERE x.package <> y.package), k AS (SELECT package, count(*) FILTER (symbol_type = 'class') AS class_count, count(*) FILTER (symbol_type = 'interface') AS interface_count, count(*) FILTER (symbol_type = 'class' AND is_abstract) AS abstract_count FROM p GROUP BY 1), m AS (SELECT k.*, coalesce(a.n, 0)::BIGINT AS ca, coalesce(e.n, 0)::BIGINT AS ce FROM k LEFT JOIN (SELECT t, count(*) AS n FROM b GROUP BY 1) a ON a.t = package LEFT JOIN (SELECT s, count(*) AS n FROM b GROUP BY 1) e ON e.s = package), i AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0.0 END AS instability, CASE WHEN class_count + interface_count > 0 THEN (abstract_count + interface_count) / (class_count + interface_count) ELSE 0.0 END AS abstractness FROM m)"
+PACKAGES = "p AS (SELECT ord AS id, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS package, symbol_type, is_abstract FROM sym), b AS (SELECT DISTINCT x.package AS s, y.package AS t FROM edge JOIN p x ON x.id = source JOIN p y ON y.id = target WHERE x.package <> y.package), k AS (SELECT package, count(*) FILTER (symbol_type = 'class') AS class_count, count(*) FILTER (symbol_type = 'interface') AS interface_count, count(*) FILTER (symbol_type = 'class' AND is_abstract) AS abstract_count FROM p GROUP BY 1), m AS (SELECT k.*, coalesce(a.n, 0)::BIGINT AS ca, coalesce(e.n, 0)::BIGINT AS ce FROM k LEFT JOIN (SELECT t, count(*) AS n FROM b GROUP BY 1) a ON a.t = package LEFT JOIN (SELECT s, count(*) AS n FROM b GROUP BY 1) e ON e.s = package), i AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0.0 END AS instability, CASE WHEN class_count + interface_count > 0 THEN (abstract_count + interface_count) / (class_count + interface_count) ELSE 0.0 END AS abstractness FROM m)"
+ZONED = "SELECT *, abs(abstractness + instability - 1.0) AS distance, CASE WHEN instability < 0.3 AND abstractness < 0.3 THEN 'zone_of_pain' WHEN instability > 0.7 AND abstractness > 0.7 THEN 'zone_of_uselessness' ELSE 'normal' END AS zone FROM i"
 
 
-@query(f"{PKG} SELECT *, abs(abstractness + instability - 1.0) AS distance, CASE WHEN instability < 0.3 AND abstractness < 0.3 THEN 'zone_of_pain' WHEN instability > 0.7 AND abstractness > 0.7 THEN 'zone_of_uselessness' ELSE 'normal' END AS zone FROM i")
+@query(f"WITH {EDGE}, {SYM}, {PACKAGES} {ZONED}")
 def g28_package_coupling(spark: SparkSession, d: str) -> DataFrame:
     """G28, A15, J21."""
     from codelode.functions import text as T
@@ -156,8 +179,8 @@ def g28_package_coupling(spark: SparkSession, d: str) -> DataFrame:
     return G.package_coupling(edges(spark, d), s)
 
 
-@query(f"WITH a AS (WITH {edge_sql(47)}, {NODE}, {COUP} SELECT * FROM cpl), b AS (WITH {edge_sql(45)}, {NODE}, {COUP} SELECT * FROM cpl) SELECT id, a.ca AS ca_before, a.ce AS ce_before, b.ca AS ca_after, b.ce AS ce_after, coalesce(b.ca, 0) - coalesce(a.ca, 0) AS ca_delta, coalesce(b.ce, 0) - coalesce(a.ce, 0) AS ce_delta FROM a FULL JOIN b USING (id)")
+@query(f"WITH a AS (WITH {edge_sql(5)}, {NODE}, {COUP} SELECT * FROM cpl), b AS (WITH {edge_sql()}, {NODE}, {COUP} SELECT * FROM cpl) SELECT id, a.ca AS ca_before, a.ce AS ce_before, b.ca AS ca_after, b.ce AS ce_after, coalesce(b.ca, 0) - coalesce(a.ca, 0) AS ca_delta, coalesce(b.ce, 0) - coalesce(a.ce, 0) AS ce_delta FROM a FULL JOIN b USING (id)")
 def g29_comparison(spark: SparkSession, d: str) -> DataFrame:
     """G29, W11."""
-    e, f = edges(spark, d), edges(spark, d, 45)
+    e, f = edges(spark, d, 5), edges(spark, d)
     return G.compare(G.coupling(e, nodes(e)), G.coupling(f, nodes(f)), ["id"], ["ca", "ce"])

@@ -103,8 +103,8 @@ def dependencies(spark):
 def test_built_graphs(spark):
     s, d = symbols(spark), dependencies(spark)
     edges = lambda kind: rows(B.build(kind, s, d).edges, "source", "target", "relation")
-    assert edges("file") == [("src/module1.py", "external:numpy", "imports"), ("src/module1.py", "src/base.py", "imports")]
-    assert edges("module") == [("src.module1", "external:numpy", "imports"), ("src.module1", "src.base", "imports")]
+    assert edges("file") == [("src/module1.py", "numpy", "imports"), ("src/module1.py", "src/base.py", "imports")]
+    assert edges("module") == [("src.module1", "numpy", "imports"), ("src.module1", "src.base", "imports")]
     assert edges("class") == [("src/module1.py:ClassA", "src/base.py:BaseClass", "inherits"), ("src/module1.py:ClassB", "external:Foo", "inherits"), ("src/module1.py:ClassB", "src/base.py:BaseClass", "calls"), ("src/module1.py:ClassB", "src/module1.py:ClassA", "inherits")]
     assert edges("function") == [("src/module1.py:ClassA.method_a", "src/utils.py:helper_func", "calls")]
     assert ("src/module1.py:ClassA", "src/module1.py:ClassA.method_a", "contains") in edges("symbol")
@@ -112,3 +112,16 @@ def test_built_graphs(spark):
     assert B.build("class", s, d).statistics().first().n_edges == 4
     assert edges("package") == []
     assert G.degrees(B.build("file", s, d).edges, B.build("file", s, d).nodes).where(F.col("id") == "src/module1.py").first().out_degree == 2
+    outside = B.build("file", s, d).nodes.where("id = 'numpy'").first()
+    assert (outside.label, outside.node_type) == ("numpy", "external_module")
+    assert {r.label for r in B.build("module", s, d).nodes.collect()} == {"module1", "base", "utils", "interfaces", "numpy"}
+
+
+def test_first_holder(spark):
+    """The smallest path that holds a target, whatever the target's length."""
+    paths = ["src/a/one.py", "src/b/one_more.py", "lib/ab.py", "x", "src/a/one.pyi"]
+    wanted = ["one", "a", "ab", "src/b", "one.py", "none", "lib/ab.py", "lib/ab.pyx", "x", "xx", "/a/o", "py"]
+    p = spark.createDataFrame([(k, x) for k in (1, 2) for x in paths[: 2 if k == 2 else None]], "library_id long, path string")
+    w = spark.createDataFrame([(k, x) for k in (1, 2) for x in wanted], "library_id long, target string")
+    want = {(k, t): min(h) for k in (1, 2) for t in wanted if (h := [x for x in paths[: 2 if k == 2 else None] if t in x])}
+    assert {(r.library_id, r.target): r.found for r in B.first_holder(w, p).collect()} == want
