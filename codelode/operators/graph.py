@@ -178,14 +178,21 @@ def generations(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataF
     return nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
 
 
-def circuits(edges: DataFrame, most: int = 50) -> DataFrame:
-    """Elementary circuits, `most` of them (that limit is the operator's own). Only edges
-    within cycles are handed to the one task that walks them."""
+def circuits(edges: DataFrame, most: int = 50, counted: bool = False) -> DataFrame:
+    """Number and nodes of elementary circuits in the order of their nodes, `most` of them
+    (that limit is the operator's own); with `counted` also the total of all, which takes as long
+    as there are circuits. Only edges within cycles are handed to the one task that walks them."""
     kind = _kind(edges)
     c = strong_components(edges)
     s, t = c.select(F.col("id").alias("source"), F.col("component").alias("cs")), c.select(F.col("id").alias("target"), F.col("component").alias("ct"))
     edges = edges.join(s, "source").join(t, "target").where("cs = ct")
-    return _in_one_task(edges.select("source", "target").distinct(), lambda e: [(i, c) for i, c in enumerate(kernels.elementary_circuits(e, most))], f"number long, nodes array<{kind}>")
+
+    def solve(pairs: list) -> list[tuple]:
+        found, total = kernels.elementary_circuits(pairs, most, counted)
+        return [(i, c, total) for i, c in enumerate(found)]
+
+    rows = _in_one_task(edges.select("source", "target").distinct(), solve, f"number long, nodes array<{kind}>, total long")
+    return rows if counted else rows.drop("total")
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:

@@ -11,7 +11,7 @@ from codelode.operators import chunk as C
 from codelode.operators import cypher, export
 from codelode.operators import graph as G
 from codelode.operators import graph_build as B
-from codelode.plans.base import DOC, EDGE, NODE, SPARSE, SYM, docs, edges, nodes, query, symbols
+from codelode.plans.base import DOC, EDGE, NODE, SPARSE, SYM, docs, edge_sql, edges, nodes, query, symbols
 from codelode.plans.graph_queries import CYC, PACKAGES, ZONED, R
 from codelode.plans.text_queries import TOKENS
 from codelode.runtime import cut, table
@@ -267,10 +267,15 @@ def g36_architecture(spark: SparkSession, d: str) -> DataFrame:
     return export.architecture(G.xs_metrics(e, nodes(e), 0, c), G.cycles(e, c), G.package_coupling(e, s))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {edge_sql(48)}, pairs AS (SELECT DISTINCT source, target FROM edge), walk AS (SELECT source AS start, [source] AS nodes, target AS nxt FROM pairs WHERE target >= source
+UNION ALL SELECT w.start, list_append(w.nodes, w.nxt), p.target FROM walk w JOIN pairs p ON p.source = w.nxt WHERE w.nxt <> w.start AND p.target >= w.start AND (p.target = w.start OR NOT list_contains(w.nodes, p.target)) AND p.target <> w.nxt),
+c AS (SELECT nodes, row_number() OVER (ORDER BY nodes) - 1 AS number, count(*) OVER () AS total FROM walk WHERE nxt = start) SELECT number, nodes, total FROM c WHERE number < 50"""
+)
 def g31_circuits(spark: SparkSession, d: str) -> DataFrame:
-    """The first 50 circuits, as its reports have them."""
-    return G.circuits(edges(spark, d, SPARSE), 50)
+    """The first 50 circuits, as its reports have them, and how many there are; of a graph so
+    sparse that all can be counted."""
+    return G.circuits(edges(spark, d, 48), 50, counted=True)
 
 
 @query(f"WITH {SYM} SELECT count(*) AS count FROM sym WHERE symbol_type = 'class' AND is_exported AND visibility = 'public' AND language = 'go'")
@@ -311,7 +316,13 @@ def c7_size_metrics(spark: SparkSession, d: str) -> DataFrame:
     return cpg.size_metrics(symbols(spark, d), 40)
 
 
-@query()
+@query(
+    f"""WITH {SYM}, f AS (SELECT name, ord % 3 AS kind, 'src/f' || ord || (['.py', '.java', '.go'])[(ord % 3 + 1)::INT] AS p FROM sym)
+SELECT 'symbol' AS row_kind, p AS file_path, name, 'class' AS symbol_type, NULL AS parent_class, CASE kind WHEN 2 THEN 'private' ELSE 'public' END AS visibility, NULL AS source, NULL AS target, NULL AS dependency_type FROM f
+UNION ALL SELECT 'symbol', p, CASE kind WHEN 2 THEN 'Run' ELSE 'run' END, 'method', name, 'public', NULL, NULL, NULL FROM f
+UNION ALL SELECT 'dependency', p, NULL, NULL, NULL, NULL, p, (['os', 'java.util.List', 'fmt'])[(kind + 1)::INT], 'import' FROM f
+UNION ALL SELECT 'dependency', p, NULL, NULL, NULL, NULL, name || '.run', 'helper', 'call' FROM f WHERE kind = 0"""
+)
 def e1_extract(spark: SparkSession, d: str) -> DataFrame:
     """E1-E7 over code made from the parts' names, in three languages."""
     s = symbols(spark, d)

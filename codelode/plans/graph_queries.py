@@ -66,19 +66,6 @@ def g14_all_lines(spark: SparkSession, d: str) -> DataFrame:
     return G.strong_components(edges(spark, d), small=0)
 
 
-@query(f"{R} SELECT id, component FROM comp")
-def g14_loops(spark: SparkSession, d: str) -> DataFrame:
-    """G14 over the sparse graph, by the distributed loops."""
-    return G.strong_components(edges(spark, d, SPARSE), small=0)
-
-
-@query(f"{R}, {CYC}, {_lv()} SELECT id, level FROM lvl")
-def g21_loops(spark: SparkSession, d: str) -> DataFrame:
-    """G18, G21, by the distributed loops."""
-    e = cut(edges(spark, d, SPARSE))
-    return G.layers(e, nodes(e), small=0)
-
-
 @query(f"{R}, {CYC} SELECT component, nodes, n_nodes, n_edges, (2.0 * n_nodes + n_edges)::DOUBLE AS impact FROM cyc")
 def g15_cycle_impact(spark: SparkSession, d: str) -> DataFrame:
     """G14, G15, A16."""

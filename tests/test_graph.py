@@ -68,7 +68,9 @@ def test_loops_agree_with_one_task(spark):
 
 
 def test_circuits():
-    assert kernels.elementary_circuits([(1, 2), (2, 3), (3, 1), (2, 1), (4, 4)], 9) == [[1, 2], [1, 2, 3], [4]]
+    pairs = [(1, 2), (2, 3), (3, 1), (2, 1), (4, 4)]
+    assert kernels.elementary_circuits(pairs, 9) == ([[1, 2], [1, 2, 3], [4]], 3)
+    assert kernels.elementary_circuits(pairs, 1, True) == ([[1, 2]], 3)
 
 
 def test_traversal_and_depth(spark):
