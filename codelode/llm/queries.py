@@ -68,7 +68,7 @@ ORACLES["op4_sentence_dedup"] = sentence_dedup.SQL
 
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLES["op8_minhash_near_dedup"] = near_dedup.SQL
