@@ -16,7 +16,7 @@ teaches, that of the smallest hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,19 +92,25 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class Model:
-    """Weights, projection, and the labelled vectors."""
+    """Weights, projection, and the labelled vectors, from rows of counts that come in blocks: a
+    function of (low, high). Only a block of them is held at a time."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = 64, k: int = 25, power: float = 8.0):
-        self.k, self.power = min(k, len(labels)), power
+    def __init__(self, rows: Callable[[int, int], np.ndarray], labels: np.ndarray, rank: int = 64, k: int = 25, power: float = 8.0, block: int = 500):
+        n = len(labels)
+        self.k, self.power = min(k, n), power
         self.labels = labels.astype(np.float32)
-        if not len(labels):
+        if not n:
             return
-        seen = (counts > 0).sum(axis=0)
-        self.weight = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) * 0.5 + 0.5
-        x = weigh(counts, self.weight)
-        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+        parts = [(a, min(n, a + block)) for a in range(0, n, block)]
+        seen = sum((rows(a, b) > 0).sum(axis=0) for a, b in parts)
+        self.weight = np.log((1 + n) / (1 + seen)).astype(np.float32) * 0.5 + 0.5
+        gram = np.zeros((FEATURES, FEATURES))
+        for a, b in parts:
+            x = weigh(rows(a, b), self.weight)
+            gram += x.T @ x
+        _, vectors = np.linalg.eigh(gram)
         self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
-        self.known = unit(x @ self.basis)
+        self.known = np.concatenate([unit(weigh(rows(a, b), self.weight) @ self.basis) for a, b in parts])
 
     def score(self, counts: np.ndarray, block: int = 256) -> np.ndarray:
         empty = counts.sum(axis=1) == 0
@@ -134,15 +140,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, rank: int = 64,
             texts = texts_of(batch)
             for a, b in groups(map(len, texts), 1_000_000):
                 counts = features(texts[a:b])  # float32, as scored rows have them
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], pa.array([row.tobytes() for row in counts], pa.binary())], ["doc_id", "quality", "counts"])
+                at = [np.flatnonzero(row).astype(np.uint16) for row in counts]
+                columns = [pa.array([i.tobytes() for i in at], pa.binary()), pa.array([row[i].tobytes() for row, i in zip(counts, at)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("quality")[a:b], *columns], ["doc_id", "quality", "at", "count"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taught), "doc_id")
     # one text for each label: combined before the shuffle, however often a doc_id repeats
     found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"), F.first("quality").alias("quality")).select("doc_id", "quality", "least.text")
-    rows = found.mapInArrow(run, "doc_id long, quality int, counts binary").toArrow()  # `sample` rows of a fixed size at most
+    # `sample` rows at most, and of each no more than its features that aren't zero
+    rows = found.mapInArrow(run, "doc_id long, quality int, at binary, count binary").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(-1, FEATURES)[order]
-    return Model(counts, rows.column("quality").to_numpy()[order], rank, k)
+    rows = rows.take(pa.array(order))
+
+    def block(low: int, high: int) -> np.ndarray:
+        part = rows.slice(low, high - low)
+        out = np.zeros((high - low, FEATURES), np.float32)
+        for i, (at, count) in enumerate(zip(part.column("at").to_pylist(), part.column("count").to_pylist())):
+            out[i, np.frombuffer(at, np.uint16)] = np.frombuffer(count, np.float32)
+        return out
+
+    return Model(block, rows.column("quality").to_numpy(), rank, k)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, prefix: str = "") -> DataFrame:
