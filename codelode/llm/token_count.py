@@ -5,9 +5,10 @@ classes; each transition says whether a match starts here and whether one starte
 back (contractions and white space need one character of delay). A text is cut into chunks of
 equal length that run side by side. A chunk doesn't know its start state, so it first gives a map
 from start state to end state; the maps compose through a parallel prefix scan, and then every
-chunk emits its matches. The second transducer reads a match and emits its number of tokens: the
-accepting states of the words seen so far carry their emitted counts, new words are compiled by
-folding the merges.
+chunk emits its matches. How many tokens a match emits isn't among the 13 states' annotations: merges
+would need a state for every word. A word's hash stands for the state that a trie of the words
+would reach; its count is written there when the word is first met, by folding the merges, and
+read on every later visit.
 
 Results: a null or empty text has no bytes and no tokens; special strings inside a text are single
 tokens, as by the library's default; ties and repeated rows are independent; other columns of the
