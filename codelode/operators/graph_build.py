@@ -94,6 +94,30 @@ def file_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
     return Graph(nodes.unionByName(_external(edges, nodes)), edges, "file")
 
 
+def dump_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
+    """Files, and the files that imports lead to: that of the last symbol of the target's
+    name, or of a name in it; else the smallest of those with names below the target, or whose path
+    holds it with slashes for dots. What leads nowhere gives no edge."""
+    q = F.col("qualified_name")
+    files = symbols.groupBy("library_id", "file_path").agg(F.when(F.count_distinct("language") == 1, F.min("language")).otherwise("mixed").alias("language"))
+    nodes = _nodes(files, F.col("file_path"), T.file_name(F.col("file_path")), F.lit("file"), F.col("language"))
+    names = F.array_distinct(F.array(q, F.regexp_replace(q, r"\.[^.]*$", "")))
+    own = symbols.where(q != "").select("library_id", "ord", "file_path", F.explode(names).alias("target"))
+    direct = own.groupBy("library_id", "target").agg(F.max_by("file_path", "ord").alias("direct"))
+    parts = F.split("target", r"\.")
+    heads = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), ".")))
+    below = own.select("library_id", "file_path", F.explode(heads).alias("target")).groupBy("library_id", "target").agg(F.min("file_path").alias("below"))
+    imports = _imports(dependencies, F.col("file_path"))
+    ways = imports.select("library_id", "target", F.replace(F.col("target"), F.lit("."), F.lit("/")).alias("way")).distinct()
+    held = first_holder(ways.select("library_id", F.col("way").alias("target")).distinct(), nodes.select("library_id", F.col("id").alias("path"))).withColumnRenamed("target", "way")
+    found = ways.join(held, ["library_id", "way"]).select("library_id", "target", "found")
+    edges = imports
+    for part in (direct, below, found):
+        edges = edges.join(part, ["library_id", "target"], "left")
+    edges = edges.select("library_id", "source", F.coalesce("direct", F.least("below", "found")).alias("target"), F.lit("imports").alias("relation"))
+    return Graph(nodes, _distinct(edges.where("target is not null and source <> target")), "dump")
+
+
 def module_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
     """Modules by path; a target is a module's name or a dotted suffix of it, or else a
     module outside. Only known modules import."""
@@ -182,7 +206,7 @@ def symbol_graph(symbols: DataFrame, dependencies: DataFrame) -> Graph:
     return Graph(nodes.unionByName(extra), edges, "symbol")
 
 
-BUILDERS = {"file": file_graph, "module": module_graph, "package": package_graph, "class": class_graph, "function": function_graph, "symbol": symbol_graph}
+BUILDERS = {"file": file_graph, "dump": dump_graph, "module": module_graph, "package": package_graph, "class": class_graph, "function": function_graph, "symbol": symbol_graph}
 
 
 def build(kind: str, symbols: DataFrame, dependencies: DataFrame, max_depth: int = 0) -> Graph:

@@ -151,6 +151,16 @@ def g1_file_nodes(spark: SparkSession, d: str) -> DataFrame:
     return B.build("file", *_parts(spark, d)).nodes.select("id", "label", "node_type")
 
 
+@query(
+    f"""WITH {PARTS}, f AS (SELECT DISTINCT file_path AS p FROM sym), t AS (SELECT DISTINCT target FROM dep WHERE kind = 'import'), own AS (SELECT ord, file_path AS p, unnest([qualified_name, regexp_replace(qualified_name, '\\.[^.]*$', '')]) AS k FROM sym),
+a AS (SELECT k AS target, arg_max(p, ord) AS a FROM own GROUP BY 1), b AS (SELECT target, min(p) AS b FROM (SELECT target, p FROM t JOIN f ON contains(p, replace(target, '.', '/')) UNION ALL SELECT target, p FROM t JOIN own ON starts_with(k, target || '.')) GROUP BY 1)
+SELECT DISTINCT file_path AS source, coalesce(a, b) AS target, 'imports' AS relation FROM dep LEFT JOIN a USING (target) LEFT JOIN b USING (target) WHERE kind = 'import' AND coalesce(a, b) IS NOT NULL AND file_path <> coalesce(a, b)"""
+)
+def g30_dump_graph(spark: SparkSession, d: str) -> DataFrame:
+    """G30, J17."""
+    return B.build("dump", *_parts(spark, d)).edges.select("source", "target", "relation")
+
+
 MODULE = "regexp_replace(replace(file_path, '/', '.'), '\\.py$', '')"
 
 

@@ -119,6 +119,18 @@ def test_built_graphs(spark):
     assert {r.label for r in B.build("module", s, d).nodes.collect()} == {"module1", "base", "utils", "interfaces", "numpy"}
 
 
+def test_dump_graph(spark):
+    """Targets by name, by what is below them, by path, and those that lead nowhere."""
+    data = [(1, 1, "pkg.a.One", "pkg/a.py"), (1, 2, "pkg.b.Two.go", "pkg/b.py"), (1, 3, "Three", "lib/c.py"), (1, 4, "Three", "lib/d.py")]
+    s = spark.createDataFrame([(*x, "python") for x in data], "library_id long, ord long, qualified_name string, file_path string, language string")
+    targets = ["pkg.a", "pkg.b", "pkg.b.Two", "Three", "lib.c", "pkg", "os", "lib.x"]
+    d = spark.createDataFrame([(1, "main.py", t, "import", "main.py") for t in targets], "library_id long, source string, target string, dependency_type string, file_path string")
+    found = rows(B.build("dump", s, d).edges, "target")
+    assert found == [("lib/c.py",), ("lib/d.py",), ("pkg/a.py",), ("pkg/b.py",)]
+    one = lambda t: rows(B.build("dump", s, d.where(F.col("target") == t)).edges, "target")
+    assert one("pkg.b") == one("pkg.b.Two") == [("pkg/b.py",)] and one("Three") == [("lib/d.py",)] and one("lib.c") == [("lib/c.py",)] and one("pkg") == [("pkg/a.py",)] and one("os") == []
+
+
 def test_first_holder(spark):
     """The smallest path that holds a target, whatever the target's length."""
     paths = ["src/a/one.py", "src/b/one_more.py", "lib/ab.py", "x", "src/a/one.pyi"]
