@@ -142,3 +142,19 @@ def test_streams(spark, tmp_path):
     q = P.track(s).writeStream.format("memory").queryName("trk").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.task_id, r.status, r.progress) for r in spark.table("trk").collect()) == [("t", "completed", 1.0), ("u", "failed", 0.0)]
+
+
+def test_joined_text(spark):
+    """Lines dealt over many parts come in order, rows go on where one is full, nothing is no line."""
+    rows = spark.range(5000).select(F.col("id"), F.lpad(F.col("id").cast("string"), 6, "0").alias("name"))
+    want = "head\n" + "\n".join(f"{i:06}" for i in range(5000)) + "\ntail"
+    assert [r.text for r in export.lines(rows, F.col("name"), ["id"], "head\n", "\ntail").collect()] == [want]
+    several = [r.text for r in export.joined([("head\n", rows.repartition(7), F.col("name"), ["id"])], "\n", "\ntail", row=12_000).collect()]
+    assert len(several) > 1 and "".join(several) == want
+    assert export.lines(rows.limit(0), F.col("name"), ["id"], "head\n", "tail").collect()[0].text == "head\ntail"
+    assert "CollectList" not in export.lines(rows, F.col("name"), ["id"])._jdf.queryExecution().toString()
+    n = spark.createDataFrame([('a"\\', 'é', "x"), ("b", None, "y")], "id string, label string, node_type string")
+    e = spark.createDataFrame([(10, 2, "r"), (9, 3, "r")], "source long, target long, relation string")
+    text = export.json_graph(n, e, "g").first().text
+    assert text == '{"graph":{"label":"g","directed":true,"nodes":{"a\\"\\\\":{"label":"é","node_type":"x"},"b":{"node_type":"y"}},"edges":[{"source":9,"target":3,"relation":"r"},{"source":10,"target":2,"relation":"r"}]}}'
+    assert export.json_graph(n.limit(0), e.limit(0)).first().text == '{"graph":{"label":"graph","directed":true,"nodes":{},"edges":[]}}'
