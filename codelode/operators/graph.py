@@ -2,22 +2,25 @@
 
 Edges have source, target and relation; nodes have id. Loops run on the cluster and end every
 round in the shared folder. A graph of at most `small` edges, which is counted first, is handed to
-a single task instead, where a loop of jobs would cost more than the work.
+a single task instead, where a loop of jobs would cost more than the work; so is what a loop has
+left once that is no more than `small`. Such a task works on arrays, about 110 bytes an edge.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
 from codelode.operators import kernels
-from codelode.runtime import cut, numbered
+from codelode.runtime import cut, numbered, shuffle_width
 
-SMALL = 200_000
+SMALL = 16_000_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -43,10 +46,6 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.withColumn("total", F.col("in_degree") + F.col("out_degree"))
 
 
-def _small(edges: DataFrame, small: int) -> bool:
-    return edges.limit(small + 1).count() <= small
-
-
 def _in_one_task(edges: DataFrame, solve: Callable[[list], list[tuple]], schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -60,49 +59,82 @@ def _kind(edges: DataFrame) -> str:
     return dict(edges.dtypes)["source"]
 
 
+def _solved(pairs: DataFrame, solve: Callable[[int, np.ndarray, np.ndarray], list[np.ndarray]], schema: str, places: int) -> DataFrame:
+    """Columns that one task finds for every node, after its id; the first `places` of them are
+    nodes' places, for which ids are given."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            ids, source, target = kernels.coded(t["source"], t["target"])
+            found = solve(len(ids), source, target)
+            columns = [ids, *[ids.take(pa.array(c)) if i < places else pa.array(c) for i, c in enumerate(found)]]
+            yield from pa.table(columns, names).to_batches(65_536)
+
+    return cut(pairs.select("source", "target").repartition(1).mapInArrow(run, schema))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Distinct pairs in the shared folder, those of a source in one part."""
+    return cut(edges.select("source", "target").repartition(shuffle_width(edges.sparkSession), "source").distinct())
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    return _solved(pairs, lambda *g: [kernels.component_codes(*g)], f"id {_kind(pairs)}, component {_kind(pairs)}", 1)
+
+
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """Id and component (its smallest id) of every node."""
-    pairs = edges.select("source", "target").distinct()
-    if _small(pairs, small):
-        return _in_one_task(pairs, lambda e: list(kernels.strong_components(e).items()), f"id {_kind(edges)}, component {_kind(edges)}")
-    return large_strong_components(pairs)
+    pairs = _pairs(edges)
+    return _components(pairs) if pairs.count() <= small else large_strong_components(pairs, small)
 
 
-def large_strong_components(pairs: DataFrame) -> DataFrame:
+def large_strong_components(pairs: DataFrame, small: int = 0) -> DataFrame:
     """Colouring: the smallest id that reaches a node colours it; what the colour's namesake is
-    reached from within the colour is one component. Ends that can't be on a cycle go first."""
-    nodes = nodes_of(pairs)
-    left, done = cut(pairs.where("source <> target")), None
-    while True:  # nodes without a way in or out are components themselves
-        keep = left.select("source").distinct().join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select(F.col("source").alias("id"))
-        after = cut(within(left, keep))
-        if after.count() == left.count():
+    reached from within the colour is one component. Ends that can't be on a cycle go first. Edges
+    stay where their source is, and a round follows only those of nodes that have changed."""
+    width = shuffle_width(pairs.sparkSession)
+    nodes = cut(nodes_of(pairs))
+    left, done = pairs.where("source <> target"), None
+    while True:
+        many = left.count()
+        if many <= small:
             break
-        left = after
-    while not left.isEmpty():
-        colour = cut(nodes_of(left).select("id", F.col("id").alias("colour")))
+        ends = cut(left.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(left.select("target", F.lit(0), F.lit(1))).groupBy("id").agg((F.max("o") + F.max("i") == 2).alias("inner")))
+        keep = ends.where("inner").select("id")
+        if not ends.where("NOT inner").isEmpty():  # nodes without a way in or out are components themselves
+            left = cut(within(left, keep).repartition(width, "source"))
+            continue
+        colour = cut(keep.repartition(width, "id").select("id", F.col("id").alias("colour")))
+        active = colour
         while True:
-            reach = left.join(colour, left.source == colour.id).groupBy("target").agg(F.min("colour").alias("new"))
+            reach = left.join(active, left.source == active.id).groupBy("target").agg(F.min("colour").alias("new"))
             after = cut(colour.join(reach, colour.id == reach.target, "left").select("id", F.least("colour", F.coalesce("new", "colour")).alias("colour"), F.coalesce(F.col("new") < F.col("colour"), F.lit(False)).alias("changed")))
-            colour = after.select("id", "colour")
-            if after.where("changed").isEmpty():
+            colour, active = after.select("id", "colour"), after.where("changed").select("id", "colour")
+            if active.isEmpty():
                 break
         s, t = colour.select(F.col("id").alias("source"), F.col("colour").alias("cs")), colour.select(F.col("id").alias("target"), F.col("colour").alias("ct"))
-        inner = cut(left.join(s, "source").join(t, "target").where("cs = ct").select("source", "target", "cs"))
+        inner = cut(left.join(s, "source").join(t, "target").where("cs = ct").select("source", "target", "cs").repartition(width, "target"))
         found = cut(colour.where("id = colour"))
+        fresh = found
         while True:
-            back = inner.join(found, (inner.target == found.id) & (inner.cs == found.colour)).select(F.col("source").alias("id"), F.col("cs").alias("colour")).distinct()
+            back = inner.join(fresh, inner.target == fresh.id).select(F.col("source").alias("id"), F.col("cs").alias("colour")).distinct()
             fresh = cut(back.join(found, "id", "left_anti"))
             if fresh.isEmpty():
                 break
-            found = cut(found.select("id", "colour").union(fresh.select("id", "colour")))
+            found = cut(found.union(fresh.select("id", "colour")).repartition(width, "id"))
         part = found.select("id", F.col("colour").alias("component"))
         done = part if done is None else done.union(part)
-        rest = nodes_of(left).join(found, "id", "left_anti")
-        left = cut(within(left, rest))
+        rest = colour.select("id").join(found, "id", "left_anti")
+        left = cut(within(left, rest).repartition(width, "source"))
+    if many:
+        part = _components(left)
+        done = part if done is None else done.union(part)
     if done is None:
         return nodes.select("id", F.col("id").alias("component"))
-    return nodes.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return cut(nodes.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
 def cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -141,17 +173,24 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
 def layers(edges: DataFrame, nodes: DataFrame, components: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """Id and level: 0 for what depends on nothing, else one more than the highest level
     it depends on; a cycle's nodes share a level."""
-    c = cut(components if components is not None else strong_components(edges, small))
-    dag = cut(condensed(edges, c))
-    if _small(dag, small):
-        depth = _in_one_task(dag, lambda e: list(kernels.longest_depth(e).items()), f"component {_kind(edges)}, level long")
+    if components is None:
+        pairs = _pairs(edges)
+        if pairs.count() <= small:
+            named = _solved(pairs, lambda *g: [kernels.layer_codes(*g)[1]], f"id {_kind(pairs)}, level long", 0)
+            return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
+        edges, components = pairs, large_strong_components(pairs, small)
+    c, width = cut(components), shuffle_width(edges.sparkSession)
+    dag = cut(condensed(edges, c).repartition(width, "target"))
+    if dag.count() <= small:
+        depth = _solved(dag, lambda *g: [kernels.peeled(*g)], f"component {_kind(edges)}, level long", 0)
     else:
-        depth = cut(nodes_of(dag).select(F.col("id").alias("component"), F.lit(0).cast("long").alias("level")))
-        while True:
-            up = dag.join(depth, dag.target == depth.component).groupBy("source").agg((F.max("level") + 1).alias("new"))
-            after = cut(depth.join(up, depth.component == up.source, "left").select("component", F.col("level").alias("was"), F.greatest("level", F.coalesce("new", "level")).alias("level")))
-            depth = after.select("component", "level")
-            if after.where("level <> was").isEmpty():
+        depth = cut(nodes_of(dag).repartition(width, "id").select(F.col("id").alias("component"), F.lit(0).cast("long").alias("level")))
+        active = depth
+        while True:  # only what has risen lifts what depends on it
+            up = dag.join(active, dag.target == active.component).groupBy("source").agg((F.max("level") + 1).alias("new"))
+            after = cut(depth.join(up, depth.component == up.source, "left").select("component", F.coalesce(F.col("new") > F.col("level"), F.lit(False)).alias("risen"), F.greatest("level", F.coalesce("new", "level")).alias("level")))
+            depth, active = after.select("component", "level"), after.where("risen").select("component", "level")
+            if active.isEmpty():
                 break
     named = c.join(depth, "component", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
     return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))

@@ -1,7 +1,10 @@
 """Graph operators on small graphs worked out by hand, and the cluster's loops against one task's."""
 
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codelode.operators import graph as G
@@ -67,6 +70,37 @@ def test_loops_agree_with_one_task(spark):
     assert dict(rows(G.layers(e, G.nodes_of(e), small=0), "id", "level")) == near
 
 
+def test_array_kernels():
+    """Components and levels by arrays against the walk over dictionaries; a long chain; many cycles."""
+    for seed in range(60):
+        random.seed(seed)
+        pairs = [(random.randrange(25), random.randrange(25)) for _ in range(random.randrange(1, 50))]
+        ids, s, t = kernels.coded(*[pa.chunked_array([pa.array([str(x) for x in ends])]) for ends in zip(*pairs)])
+        label, level = kernels.layer_codes(len(ids), s, t)
+        want = kernels.strong_components([(str(a), str(b)) for a, b in pairs])
+        depth = kernels.longest_depth({(want[str(a)], want[str(b)]) for a, b in pairs if want[str(a)] != want[str(b)]})
+        names = ids.to_pylist()
+        assert {n: names[c] for n, c in zip(names, label)} == want
+        assert {n: int(v) for n, v in zip(names, level)} == {n: depth.get(want[n], 0) for n in names}
+    many = np.arange(200_000)
+    began = time.monotonic()
+    assert kernels.peeled(20_001, many[:20_000], many[1:20_001]).tolist() == list(range(20_000, -1, -1))
+    assert (kernels.component_codes(200_000, many, many ^ 1) == many // 2 * 2).all()
+    assert kernels.elementary_circuits([(i, i ^ 1) for i in range(6_000)], 2, True) == ([[0, 1], [2, 3]], 3_000)
+    assert time.monotonic() - began < 20
+
+
+def test_loops_hand_over(spark):
+    """Loops that stop at any size and hand the rest to one task."""
+    random.seed(8)
+    pairs = {(random.randrange(60), random.randrange(60)) for _ in range(80)}
+    e = spark.createDataFrame([(a, b, "x") for a, b in pairs], "source long, target long, relation string")
+    want = kernels.strong_components(pairs)
+    for small in (20, 79):
+        assert dict(rows(G.strong_components(e, small), "id", "component")) == want
+        assert rows(G.layers(e, G.nodes_of(e), small=small), "id", "level") == rows(G.layers(e, G.nodes_of(e)), "id", "level")
+
+
 def test_circuits():
     pairs = [(1, 2), (2, 3), (3, 1), (2, 1), (4, 4)]
     assert kernels.elementary_circuits(pairs, 9) == ([[1, 2], [1, 2, 3], [4]], 3)
