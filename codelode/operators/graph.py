@@ -78,7 +78,7 @@ def _solved(pairs: DataFrame, solve: Callable[[int, np.ndarray, np.ndarray], lis
 
 def _pairs(edges: DataFrame) -> DataFrame:
     """Distinct pairs in the shared folder, those of a source in one part."""
-    return cut(edges.select("source", "target").repartition(shuffle_width(edges.sparkSession), "source").distinct())
+    return cut(edges.select("source", "target").repartition(shuffle_width(edges.sparkSession), "source").distinct(), placed=True)
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -102,33 +102,33 @@ def large_strong_components(pairs: DataFrame, small: int = 0) -> DataFrame:
         many = left.count()
         if many <= small:
             break
-        ends = cut(left.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(left.select("target", F.lit(0), F.lit(1))).groupBy("id").agg((F.max("o") + F.max("i") == 2).alias("inner")))
+        ends = cut(left.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(left.select("target", F.lit(0), F.lit(1))).groupBy("id").agg((F.max("o") + F.max("i") == 2).alias("inner")), placed=True)
         keep = ends.where("inner").select("id")
         if not ends.where("NOT inner").isEmpty():  # nodes without a way in or out are components themselves
-            left = cut(within(left, keep).repartition(width, "source"))
+            left = cut(within(left, keep).repartition(width, "source"), placed=True)
             continue
-        colour = cut(keep.repartition(width, "id").select("id", F.col("id").alias("colour")))
+        colour = keep.select("id", F.col("id").alias("colour"))
         active = colour
         while True:
             reach = left.join(active, left.source == active.id).groupBy("target").agg(F.min("colour").alias("new"))
-            after = cut(colour.join(reach, colour.id == reach.target, "left").select("id", F.least("colour", F.coalesce("new", "colour")).alias("colour"), F.coalesce(F.col("new") < F.col("colour"), F.lit(False)).alias("changed")))
+            after = cut(colour.join(reach, colour.id == reach.target, "left").select("id", F.least("colour", F.coalesce("new", "colour")).alias("colour"), F.coalesce(F.col("new") < F.col("colour"), F.lit(False)).alias("changed")), placed=True)
             colour, active = after.select("id", "colour"), after.where("changed").select("id", "colour")
             if active.isEmpty():
                 break
         s, t = colour.select(F.col("id").alias("source"), F.col("colour").alias("cs")), colour.select(F.col("id").alias("target"), F.col("colour").alias("ct"))
-        inner = cut(left.join(s, "source").join(t, "target").where("cs = ct").select("source", "target", "cs").repartition(width, "target"))
-        found = cut(colour.where("id = colour"))
+        inner = cut(left.join(s, "source").join(t, "target").where("cs = ct").select("source", "target", "cs").repartition(width, "target"), placed=True)
+        found = cut(colour.where("id = colour"), placed=True)
         fresh = found
         while True:
-            back = inner.join(fresh, inner.target == fresh.id).select(F.col("source").alias("id"), F.col("cs").alias("colour")).distinct()
-            fresh = cut(back.join(found, "id", "left_anti"))
+            back = inner.join(fresh, inner.target == fresh.id).select(F.col("source").alias("id"), F.col("cs").alias("colour")).dropDuplicates(["id"])  # a node has one colour
+            fresh = cut(back.join(found, "id", "left_anti"), placed=True)
             if fresh.isEmpty():
                 break
-            found = cut(found.union(fresh.select("id", "colour")).repartition(width, "id"))
+            found = cut(found.union(fresh.select("id", "colour")).repartition(width, "id"), placed=True)
         part = found.select("id", F.col("colour").alias("component"))
         done = part if done is None else done.union(part)
         rest = colour.select("id").join(found, "id", "left_anti")
-        left = cut(within(left, rest).repartition(width, "source"))
+        left = cut(within(left, rest).repartition(width, "source"), placed=True)
     if many:
         part = _components(left)
         done = part if done is None else done.union(part)
@@ -180,15 +180,15 @@ def layers(edges: DataFrame, nodes: DataFrame, components: DataFrame | None = No
             return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
         edges, components = pairs, large_strong_components(pairs, small)
     c, width = cut(components), shuffle_width(edges.sparkSession)
-    dag = cut(condensed(edges, c).repartition(width, "target"))
+    dag = cut(condensed(edges, c).repartition(width, "target"), placed=True)
     if dag.count() <= small:
         depth = _solved(dag, lambda *g: [kernels.peeled(*g)], f"component {_kind(edges)}, level long", 0)
     else:
-        depth = cut(nodes_of(dag).repartition(width, "id").select(F.col("id").alias("component"), F.lit(0).cast("long").alias("level")))
+        depth = cut(nodes_of(dag).repartition(width, "id").select(F.col("id").alias("component"), F.lit(0).cast("long").alias("level")), placed=True)
         active = depth
         while True:  # only what has risen lifts what depends on it
             up = dag.join(active, dag.target == active.component).groupBy("source").agg((F.max("level") + 1).alias("new"))
-            after = cut(depth.join(up, depth.component == up.source, "left").select("component", F.coalesce(F.col("new") > F.col("level"), F.lit(False)).alias("risen"), F.greatest("level", F.coalesce("new", "level")).alias("level")))
+            after = cut(depth.join(up, depth.component == up.source, "left").select("component", F.coalesce(F.col("new") > F.col("level"), F.lit(False)).alias("risen"), F.greatest("level", F.coalesce("new", "level")).alias("level")), placed=True)
             depth, active = after.select("component", "level"), after.where("risen").select("component", "level")
             if active.isEmpty():
                 break
@@ -278,10 +278,11 @@ def suggestion(ca: Column, ce: Column, instability: Column) -> Column:
     )
 
 
-def coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def coupling(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Distinct neighbours on either side, instability, risk and advice; a node isn't
-    its own neighbour."""
-    pairs = within(edges, nodes).where("source <> target").select("source", "target").distinct()
+    its own neighbour. Without `nodes`: of the edges' own nodes."""
+    edges, nodes = (edges, nodes_of(edges)) if nodes is None else (within(edges, nodes), nodes)
+    pairs = edges.where("source <> target").select("source", "target").distinct()
     ce, ca = pairs.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("ce")), pairs.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("ca"))
     rows = nodes.select("id").join(ca, "id", "left").join(ce, "id", "left").na.fill(0, ["ca", "ce"])
     a, e = F.col("ca"), F.col("ce")

@@ -173,3 +173,12 @@ def test_first_holder(spark):
     w = spark.createDataFrame([(k, x) for k in (1, 2) for x in wanted], "library_id long, target string")
     want = {(k, t): min(h) for k in (1, 2) for t in wanted if (h := [x for x in paths[: 2 if k == 2 else None] if t in x])}
     assert {(r.library_id, r.target): r.found for r in B.first_holder(w, p).collect()} == want
+
+
+def test_placed_pairs(spark):
+    """Pairs stay where their source is: a join by it deals out only the other side."""
+    e = spark.range(2000).select((F.col("id") % 90).alias("source"), (F.col("id") % 77).alias("target"))
+    colour = e.select(F.col("source").alias("id")).distinct()
+    plan = G._pairs(e).join(colour.hint("merge"), F.col("source") == F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source" not in plan.split("Scan ExistingRDD")[0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
