@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.runtime import shuffle_width
+
 #: Dimensions of known embedding models.
 DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "voyage-code-2": 1536, "voyage-2": 1024, "cohere-embed-english-v3.0": 1024, "cohere-embed-multilingual-v3.0": 1024}
 
@@ -44,8 +46,9 @@ def hash_embedding(text: Column, dims: int) -> Column:
     letters = F.transform(F.filter(F.split(low, ""), lambda x: x != ""), lambda x, i: (F.ascii(x).cast("long") * (i + 1)) % dims)
     words = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")).cast("double")
     chars = F.length(text).cast("double")
-    # places and their counts: sort once, then fold runs into a dense array
-    counts = F.aggregate(letters, F.array_repeat(F.lit(0.0), dims), lambda a, p: F.transform(a, lambda v, i: F.when(i == p, v + 1.0).otherwise(v))) if dims <= 16 else _dense(letters, dims)
+    # few places are counted one by one; for many, sort once and fold runs into a dense array
+    slots = F.lit(list(range(dims))).cast("array<long>")
+    counts = _once(letters, lambda at: F.transform(slots, lambda i: F.size(F.filter(at, lambda p: p == i)).cast("double"))) if dims <= 64 else _dense(letters, dims)
     stats = F.array(words / 100, chars / 1000, F.when(chars > 0, words / chars).otherwise(0.0))
     raw = F.concat(F.slice(stats, 1, min(3, dims)), F.slice(counts, 4, max(dims - 3, 1))) if dims > 3 else F.slice(stats, 1, dims)
     length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + v * v))
@@ -53,6 +56,11 @@ def hash_embedding(text: Column, dims: int) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array_repeat(F.lit(0.0), dims)).otherwise(unit)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all tasks: vectors cost more than their rows' bytes tell, by which files are split."""
+    return rows.repartition(shuffle_width(rows.sparkSession))
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once: what a lambda only refers to is computed anew for
     each element."""
@@ -78,13 +86,13 @@ def _dense(places: Column, dims: int) -> Column:
 
 def embed_documents(docs: DataFrame, dims: int, most: int = 8000) -> DataFrame:
     """V6: id and vector of the first `most` characters."""
-    return docs.select("id", hash_embedding(F.substring("content", 1, most), dims).alias("vector"))
+    return dealt(docs.select("id", "content")).select("id", hash_embedding(F.substring("content", 1, most), dims).alias("vector"))
 
 
 def embed_symbols(symbols: DataFrame, dims: int) -> DataFrame:
     """V6: name, qualified name and documentation together."""
     text = F.concat_ws(" ", "name", "qualified_name", "documentation")
-    return symbols.select(F.col("ord").alias("id"), hash_embedding(text, dims).alias("vector"))
+    return dealt(symbols.select("ord", text.alias("text"))).select(F.col("ord").alias("id"), hash_embedding(F.col("text"), dims).alias("vector"))
 
 
 def enrich(hits: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -112,8 +112,8 @@ HASHED = "s AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS t FROM part
 @query(f"WITH {HASHED} SELECT id, list_transform(raw, lambda x: round(x / sqrt(list_inner_product(raw, raw)), 9)) AS vector FROM v")
 def v5_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """V5, V6."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), V.hash_embedding(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), 32).alias("vector"))
-    return p.select("id", F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
+    p = V.dealt(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name"))).select("id", V.hash_embedding(F.col("name"), 32).alias("vector"))
+    return p.select("id", F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(F.round(x, 9))).alias("vector"))
 
 
 ARMS = f"""WITH {DOC}, {SYM}, ca AS (SELECT 'doc:' || id AS id, least(1.0, 0.5 + 0.1 * ((length(content) - length(replace(lower(content), 'red', ''))) / 3)) AS score FROM doc WHERE contains(lower(content), 'red') UNION ALL SELECT 'sym:' || ord, 0.8 FROM sym WHERE contains(lower(name), 'red')), c AS (SELECT * FROM ca ORDER BY score DESC, id LIMIT 200),

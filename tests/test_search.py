@@ -93,3 +93,21 @@ def test_budgets_in_rounds(spark):
     for batch in (2, 256):
         assert sorted(map(tuple, retrieval.budget_skip(df, ["k"], 150, "n", [F.col("i")], batch).select("k", "i", "n", "total_tokens").collect())) == sorted(skip)
         assert sorted(map(tuple, retrieval.budget_stop(df, ["k"], 150, "n", [F.col("i")], 20, batch).select("k", "i", "used", "truncated").collect())) == sorted(stop)
+
+
+def test_hash_embedding_counts(spark):
+    """Few and many places are counted alike, and rows are dealt over all tasks."""
+    from codelode.operators import vectors as V
+
+    for dims in (8, 32, 64, 80):
+        for text in ("a", "Hello hello wide World, again", "é" * 40):
+            counts = [0.0] * dims
+            for i, c in enumerate(text.lower()):
+                counts[ord(c) * (i + 1) % dims] += 1
+            w = len(text.split())
+            raw = [w / 100, len(text) / 1000, w / len(text), *counts[3:]]
+            size = sum(x * x for x in raw) ** 0.5
+            got = spark.range(1).select(V.hash_embedding(F.lit(text), dims).alias("v")).first().v
+            assert [round(x, 12) for x in got] == [round(x / size, 12) for x in raw]
+    docs = spark.range(100, numPartitions=1).select("id", F.lit("some text").alias("content"))
+    assert "RoundRobinPartitioning" in V.embed_documents(docs, 8)._jdf.queryExecution().executedPlan().toString()
