@@ -5,10 +5,12 @@ Every function works on whole texts; a batch is cut between texts only, never wi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MIX1, MIX2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
@@ -84,6 +86,25 @@ def groups(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, n
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows, of at most `most` bytes of the column each, so that
+    what is made of them stays small. Python workers serve one stage after the other: after each
+    batch, what they have freed goes back to the system."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in groups(sizes, most):
+            yield batch.slice(a, b - a)
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def spread_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated ranges starts[i] .. starts[i] + lengths[i]."""
     ends = np.cumsum(lengths)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.bitmaps import BITS, bitmap, within
 from codelode.llm.components import components
-from codelode.llm.flat import Rolling, groups, mix, spread_runs
+from codelode.llm.flat import Rolling, groups, mix, sliced, spread_runs
 from codelode.runtime import cut
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,7 +72,7 @@ def _sampled(docs: DataFrame, width: int, rate: int) -> DataFrame:
     """One in `rate` of all (document, value) pairs, chosen by their hash: value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             found = [np.zeros(0, np.uint64)]
             for s in shingle_sets(texts, width):
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))  # four megabytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             sets = shingle_sets(texts, width)
             h = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ _FACTORS[1]).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
@@ -191,7 +191,7 @@ def _within_long_lists(members: DataFrame, texts: DataFrame, width: int, percent
     given: fewer than it has members."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], ["id", "shingles"])
 
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, common:
     sketches = classes.select("id", "n", "sketch")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "sketch"):
             parts = [np.frombuffer(s, np.int64) for s in batch.column("sketch").to_pylist()]
             sizes = [len(p) for p in parts]
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.bpe import encode_texts, words_alone
-from codelode.llm.flat import texts_of
+from codelode.llm.flat import sliced, texts_of
 from codelode.runtime import cut, shuffle_width
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,7 +40,7 @@ def prepare(text: str) -> str:
 
 def pieces_of(docs: DataFrame, path: str, room: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(path, texts_of(batch), words_alone, prepare)):
                 data = np.r_[ids, end_id].astype("<u4")
@@ -108,7 +108,9 @@ def best_fit(docs: DataFrame, path: str, room: int = 4096, end_id: int = 1) -> D
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `room` rows
-    plan = spark.createDataFrame(plan_rounds(totals, room), "length long, low long, high long, first long, gap_at long, each long")
+    rows = np.array(plan_rounds(totals, room), np.int64).reshape(-1, 6)
+    # from arrays: a list of rows would start further Python workers, that stay
+    plan = spark.createDataFrame(pa.table(list(rows.T), ["length", "low", "high", "first", "gap_at", "each"]))
     own = Window.partitionBy("slice", "length").orderBy("doc_id", "piece")
     ranked = pieces.withColumn("n", F.row_number().over(own) - 1).join(bases, ["slice", "length"]).withColumn("rank", F.col("base") + F.col("n"))
     p = F.broadcast(plan.withColumnRenamed("length", "of"))  # bounded by `room`, not by the input

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.bpe import BLANK, LETTER, NUMBER, SPACE, classes, flat_points
-from codelode.llm.flat import Rolling, groups, texts_of
+from codelode.llm.flat import Rolling, groups, sliced, texts_of
 
 WORDS, SHAPES = 1024, 24
 FEATURES = WORDS + SHAPES + SHAPES * SHAPES + 2
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, rank: int = 64,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch)
             for a, b in groups(map(len, texts), 1_000_000):
                 counts = features(texts[a:b])  # float32, as scored rows have them
@@ -170,7 +170,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, prefix: str
     schema = docs.select(names).schema.add(added[0], "double").add(added[1], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, scores = texts_of(batch), []
             for a, b in groups((2000 + len(t) for t in texts), 1_000_000):
                 scores.append(sent.value.score(features(texts[a:b])))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.flat import Rolling, groups, mix
+from codelode.llm.flat import Rolling, groups, mix, sliced
 from codelode.runtime import cut
 
 RUN = 3
@@ -97,7 +97,7 @@ def _span_rows(docs: DataFrame, few: int, pair: int, many: int, names: tuple[str
     kinds = {"h1": "long", "h2": "long", "doc_id": "long", "pos": "int", "size": "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids = batch.column("doc_id").to_numpy()
             for a, b in groups(map(len, texts), 1_000_000):
@@ -128,7 +128,7 @@ def dedup(docs: DataFrame, few: int = 12, pair: int = 20, many: int = 40, prefix
     schema = docs.select(names).schema.add(added[0], "long").add(added[1], "long")
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             spans = batch.column(len(names)).to_pylist()
             columns = list(batch.columns)[:-1]
