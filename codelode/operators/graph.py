@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
@@ -46,15 +45,6 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.withColumn("total", F.col("in_degree") + F.col("out_degree"))
 
 
-def _in_one_task(edges: DataFrame, solve: Callable[[list], list[tuple]], schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(solve(list(zip(part["source"].tolist(), part["target"].tolist()))), columns=names)
-
-    return edges.select("source", "target").groupBy(F.lit(1).alias("one")).applyInPandas(run, schema)
-
-
 def _kind(edges: DataFrame) -> str:
     return dict(edges.dtypes)["source"]
 
@@ -220,18 +210,25 @@ def generations(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataF
 def circuits(edges: DataFrame, most: int = 50, counted: bool = False) -> DataFrame:
     """Number and nodes of elementary circuits in the order of their nodes, `most` of them
     (that limit is the operator's own); with `counted` also the total of all, which takes as long
-    as there are circuits. Only edges within cycles are handed to the one task that walks them."""
+    as there are circuits. Only edges within cycles are dealt out, each component whole to one
+    task; a task gives the first `most` of its circuits and how many it has met."""
     kind = _kind(edges)
     c = strong_components(edges)
     s, t = c.select(F.col("id").alias("source"), F.col("component").alias("cs")), c.select(F.col("id").alias("target"), F.col("component").alias("ct"))
-    edges = edges.join(s, "source").join(t, "target").where("cs = ct")
+    inner = edges.join(s, "source").join(t, "target").where("cs = ct").select("source", "target", "cs").distinct()
 
-    def solve(pairs: list) -> list[tuple]:
-        found, total = kernels.elementary_circuits(pairs, most, counted)
-        return [(i, c, total) for i, c in enumerate(found)]
-
-    rows = _in_one_task(edges.select("source", "target").distinct(), solve, f"number long, nodes array<{kind}>, total long")
-    return rows if counted else rows.drop("total")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            found, met = kernels.elementary_circuits(zip(t["source"].to_pylist(), t["target"].to_pylist()), most, counted)
+            # without circuits to show, the count still has its row
+            yield pa.record_batch([pa.array(found or [None], pa.list_(t.schema.field("source").type)), pa.array([met] + [0] * (len(found) - 1), pa.int64())], ["nodes", "met"])
+
+    parts = cut(inner.repartition(shuffle_width(edges.sparkSession), "cs").select("source", "target").mapInArrow(walk, f"nodes array<{kind}>, met long"))
+    first = parts.where("nodes IS NOT NULL").orderBy("nodes").limit(most)  # then `most` rows in one window
+    rows = first.select((F.row_number().over(Window.orderBy("nodes")) - 1).cast("long").alias("number"), "nodes")
+    return rows.crossJoin(parts.agg(F.sum("met").alias("total"))) if counted else rows
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:

@@ -186,7 +186,9 @@ def longest_depth(edges: Iterable[Edge]) -> dict:
 def elementary_circuits(edges: Iterable[Edge], most: int, counted: bool = False) -> tuple[list[list], int]:
     """Elementary circuits, each from its smallest node on, at most `most` of them, and how many
     were met: all there are if `counted`. From each start only its component among the nodes that
-    aren't smaller is walked; a start's removal leaves other components as they are."""
+    aren't smaller is walked; a start's removal leaves other components as they are. As Johnson has
+    it, a node from which no circuit was closed stays shut until a node that it leads to is left
+    after one: between two circuits the walk takes an edge a bounded number of times."""
     own: dict = defaultdict(list)
     pairs = sorted(set(edges))
     label = strong_components(pairs)
@@ -202,22 +204,37 @@ def elementary_circuits(edges: Iterable[Edge], most: int, counted: bool = False)
         out: dict = defaultdict(list)
         for a, b in inner:
             out[a].append(b)
-        path, on, walk = [start], {start}, [iter(out[start])]
+        opens: dict = defaultdict(set)  # node -> what it opens when it is opened
+        path, shut, walk, closed = [start], {start}, [iter(out[start])], [False]
         while walk:
             nxt = next(walk[-1], None)
             if nxt is None:
+                node = path.pop()
                 walk.pop()
-                on.discard(path.pop())
+                if closed.pop():
+                    if closed:
+                        closed[-1] = True
+                    opened = [node]
+                    while opened:
+                        n = opened.pop()
+                        if n in shut:
+                            shut.discard(n)
+                            opened += opens.pop(n, ())
+                else:
+                    for n in out[node]:
+                        opens[n].add(node)
             elif nxt == start:
                 total += 1
+                closed[-1] = True
                 if len(found) < most:
                     found.append(list(path))
                 elif not counted:
                     return found, total
-            elif nxt not in on:
+            elif nxt not in shut:
                 path.append(nxt)
-                on.add(nxt)
+                shut.add(nxt)
                 walk.append(iter(out[nxt]))
+                closed.append(False)
         rest = [(a, b) for a, b in inner if a != start and b != start]
         label = strong_components(rest)
         parts: dict = defaultdict(list)

@@ -107,6 +107,42 @@ def test_circuits():
     assert kernels.elementary_circuits(pairs, 1, True) == ([[1, 2]], 3)
 
 
+def test_circuits_without_vain_ways():
+    """Against plain walks; and a row of diamonds, each with a way back: many ways, few circuits."""
+    for seed in range(80):
+        random.seed(seed)
+        pairs = sorted({(random.randrange(9), random.randrange(9)) for _ in range(random.randrange(1, 26))})
+        want = []
+
+        def walk(path):
+            for a, b in pairs:
+                if a == path[-1] and b == path[0]:
+                    want.append(path)
+                elif a == path[-1] and b > path[0] and b not in path:
+                    walk([*path, b])
+
+        for n in range(9):
+            walk([n])
+        assert kernels.elementary_circuits(pairs, 5, True) == (sorted(want)[:5], len(want))
+    for many in (22, 200):
+        row = [p for i in range(0, 3 * many, 3) for p in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3), (i + 3, i))]
+        began = time.monotonic()
+        assert kernels.elementary_circuits(row, 1, True) == ([[0, 1, 3]], 2 * many)
+        assert time.monotonic() - began < 10
+
+
+def test_circuits_are_dealt_out(spark):
+    """Components are walked where they are dealt to; numbers and the total are those of the whole."""
+    pairs = [(a + 10 * k, b + 10 * k) for k in range(40) for a, b in ((1, 2), (2, 3), (3, 1), (2, 1), (4, 4), (4, 1))]
+    want, total = kernels.elementary_circuits(pairs, 50, True)
+    e = spark.createDataFrame(pairs, "source long, target long")
+    found = G.circuits(e, 50, counted=True)
+    assert total == 120 and [(r["number"], r["nodes"], r["total"]) for r in found.orderBy("number").collect()] == [(i, c, total) for i, c in enumerate(want)]
+    assert found.dtypes == [("number", "bigint"), ("nodes", "array<bigint>"), ("total", "bigint")]
+    assert rows(G.circuits(e, 2), "number", "nodes") == [(0, [1, 2]), (1, [1, 2, 3])]
+    assert G.circuits(e.where("source = 4 AND target = 1"), counted=True).count() == 0
+
+
 def test_traversal_and_depth(spark):
     e, n = graph(spark, [("A", "B"), ("B", "C"), ("C", "D"), ("X", "B")])
     start = n.where("id = 'A'")
